@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textward.llm import p1_near_copies, p4_lookalike_pairs, p6_format_copies
+from textward.llm import p1_near_copies, p4_lookalike_pairs, p6_format_copies, p9_garbled
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p4_classes": p4_lookalike_pairs.classes,
         "p6_found": p6_format_copies.found,
         "p6_groups": p6_format_copies.groups,
+        "p9_found": p9_garbled.found,
+        "p9_texts": p9_garbled.texts,
     }
 
 
