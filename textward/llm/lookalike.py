@@ -13,6 +13,7 @@ Letter case, accents, punctuation and ordinary spacing stay as they are.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import itertools
 import re
@@ -257,6 +258,32 @@ class Rewriter:
         return text
 
 
+    def aligned(self, text: str):
+        """The consistent form, and a function from its places to places of the text.
+
+        A place inside a rewritten run is mapped to a place inside or at the end of the run as
+        written; places outside runs are exact.
+        """
+        form = self(text)
+        if len(form) == len(text):
+            return form, lambda place: place
+        ends: list[tuple[int, int]] = [(0, 0)]
+        shift = 0
+        for m in _RUN.finditer(text):
+            new = len(unicodedata.normalize("NFC", self._run(m)))
+            if new != m.end() - m.start():
+                shift += new - (m.end() - m.start())
+                ends.append((m.end() + shift, m.end()))
+        at = [e[0] for e in ends]
+
+        def place(i: int) -> int:
+            k = bisect.bisect_right(at, i) - 1
+            limit = len(text)
+            return min(limit, ends[k][1] + i - ends[k][0])
+
+        return form, place
+
+
 def member_counts(df: DataFrame, column: str) -> dict[str, int]:
     """How often each class member occurs in the whole column (null texts count nothing).
 
