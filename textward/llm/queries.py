@@ -6,15 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textward.llm import p1_near_copies, p4_lookalike_pairs, p6_format_copies, p9_garbled
+from textward.llm import p1_near_copies, p3_personal, p4_lookalike_pairs, p5_abuse, p6_format_copies, p9_garbled
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query name -> callable of (session, folder)."""
     return {
         "p1_found": p1_near_copies.found,
+        "p3_found": p3_personal.found,
+        "p3_masked": p3_personal.masked,
         "p4_found": p4_lookalike_pairs.found,
         "p4_classes": p4_lookalike_pairs.classes,
+        "p5_found": p5_abuse.found,
+        "p5_scores": p5_abuse.scores,
+        "p5_rates": p5_abuse.rates,
         "p6_found": p6_format_copies.found,
         "p6_groups": p6_format_copies.groups,
         "p9_found": p9_garbled.found,
