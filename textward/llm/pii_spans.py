@@ -8,6 +8,7 @@ different keys, whatever the number of candidates.
 from __future__ import annotations
 
 import re
+import unicodedata
 from typing import NamedTuple
 
 TYPES = ("email", "phone", "national_id", "street_address", "person_name")
@@ -95,18 +96,38 @@ def _key(votes: tuple[int, ...], *features: int) -> str:
 
 
 def introduced_names(text: str) -> list[tuple[str, str]]:
-    """(given, family), case folded, of names that a phrase introduces: the seed of the gazetteer."""
+    """(given, family), case folded, of names that a phrase introduces or an address repeats.
+
+    The seed of the gazetteer; a name spelled in the e-mail address that follows it counts twice.
+    """
     out = []
     low = text.lower()
-    if not any(x in low for x in _INTRO_PARTS):
-        return out
-    for m in _INTRO.finditer(text):
-        first, comma, second = m.groups()
-        if first[:1].isupper() and second[:1].isupper():
-            out.append((second, first) if comma else (first, second))
+    if any(x in low for x in _INTRO_PARTS):
+        for m in _INTRO.finditer(text):
+            first, comma, second = m.groups()
+            if first[:1].isupper() and second[:1].isupper():
+                out.append((second, first) if comma else (first, second))
+    if "@" in low or "(at)" in low or "[at]" in low:
+        for m in _LOCAL.finditer(low):
+            local = m.group(1)
+            pairs = list(_PAIR.finditer(text, max(0, m.start() - 140), m.start()))
+            for first, second in (x.groups() for x in pairs):
+                if first[:1].isupper() and second[:1].isupper() and plain(first) in local.split(".") + re.split(r"[._+-]", local.rstrip("0123456789")) and len(first) > 2:
+                    out += [(first, second)] * 2
     return [(a.casefold(), b.casefold()) for a, b in out]
 
 
+def plain(word: str) -> str:
+    """Lower case letters without accents."""
+    return "".join(_PLAIN.get(ch, ch) for ch in unicodedata.normalize("NFD", word.lower()) if not unicodedata.combining(ch))
+
+
+# Letters that take no accent off.
+_PLAIN = {"ł": "l", "ø": "o", "ß": "ss", "đ": "d", "æ": "ae", "œ": "oe"}
+_LOCAL = re.compile(r"([\w][\w.+-]*)\s?(?:@|\(at\)|\[at\])")
+_PAIR = re.compile(r"(?=(?<![^\W\d_])([^\W\d_]{3,})[ ](?:[^\W\d_]\.[ ])?([^\W\d_]{3,}))")
+
+
 def _emails(text: str):
     for m in _EMAIL.finditer(text):
         plain = "@" in m.group()

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textward.llm import p1_near_copies, p3_personal, p4_lookalike_pairs, p5_abuse, p6_format_copies, p9_garbled
+from textward.llm import p1_near_copies, p3_personal, p4_lookalike_pairs, p5_abuse, p6_format_copies, p7_packing, p8_mixing, p9_garbled
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p5_rates": p5_abuse.rates,
         "p6_found": p6_format_copies.found,
         "p6_groups": p6_format_copies.groups,
+        "p7_packing": p7_packing.packing,
+        "p7_fill": p7_packing.fill,
+        "p8_sequence": p8_mixing.sequence,
+        "p8_shares": p8_mixing.shares,
         "p9_found": p9_garbled.found,
         "p9_texts": p9_garbled.texts,
     }
