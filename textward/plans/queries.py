@@ -6,12 +6,33 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from textward.operators import sessionize
+
+#: The events of each caller, as SQL (see sessionize.audit_events).
+EVENTS_SQL = r"""
+ once AS (SELECT audit_id, arg_min(struct_pack(event_ts := event_ts, key_prefix := key_prefix, ip := ip), ingested_at) AS x FROM audit_log GROUP BY audit_id),
+ named AS (SELECT audit_id, x.event_ts AS ts,
+   CASE WHEN trim(coalesce(x.key_prefix, '')) <> '' THEN trim(x.key_prefix)
+        WHEN trim(coalesce(x.ip, '')) <> '' THEN regexp_replace(lower(trim(x.ip)), '^::ffff:(\d+\.\d+\.\d+\.\d+)$', '\1') END AS actor FROM once),
+ events AS (SELECT actor, ts, audit_id FROM named WHERE actor IS NOT NULL AND ts IS NOT NULL),
+ marked AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER w < 1800000000 THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY actor ORDER BY ts, audit_id)),
+ numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY actor ORDER BY ts, audit_id ROWS UNBOUNDED PRECEDING) AS s FROM marked),
+ bounds AS (SELECT *, min(ts) OVER (PARTITION BY actor, s) AS lo, max(ts) OVER (PARTITION BY actor, s) AS hi FROM numbered)"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query name -> callable of (session, folder)."""
-    return {}
+    return {
+        "p2_found": sessionize.found,
+        "p2_sessions": sessionize.sessions,
+        "p2_gap_settings": sessionize.gap_settings,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL with the same result, by query name."""
-    return {}
+    return {
+        "p2_found": f"WITH {EVENTS_SQL} SELECT actor, min(audit_id) FILTER (WHERE ts = lo) AS first_audit_id, max(audit_id) FILTER (WHERE ts = hi) AS last_audit_id FROM bounds GROUP BY actor, s",
+        "p2_sessions": f"""WITH {EVENTS_SQL} SELECT actor, min(audit_id) FILTER (WHERE ts = lo) AS first_id, max(audit_id) FILTER (WHERE ts = hi) AS last_id, min(lo) AS start, max(hi) AS "end",
+          (epoch_us(max(hi)) - epoch_us(min(lo))) / 1000000.0 AS duration, count(*) AS events FROM bounds GROUP BY actor, s""",
+    }
