@@ -63,6 +63,7 @@ _ADDRESS = re.compile(
 _LIVE = re.compile(r"(?i)(?:live at|ship it to|went to|address|deliver\w* to|habite|wohne|vivo en|адрес|живу|send it to|contact:[^\n]{0,30})\W*(?:in der |in |au |en )?$")
 _POSTAL = re.compile(r"\b\d{4,6}\b|(?i:apt|flat|box)")
 _NOT_STREET = re.compile(r"(?i)\b(?:the|a|an|of|with|and|my|this|for|to|in|units|rows|ideas|items|holes|no|than|by)\b")
+_LONG = re.compile(r"\d[\d\s().\-/]{5}")
 _DIGIT = re.compile(r"\d")
 _WORDS = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 _TITLE = re.compile(rf"(?i)(?<!\w)(?:{TITLES})\.?\s+$")
@@ -209,8 +210,9 @@ def spans(text: str, given: dict[str, int], family: dict[str, int], common: froz
     out: list[Span] = []
     if "@" in low or not (words.isdisjoint(_AT_WORDS) or ("dot" not in low and words.isdisjoint(_DOT_WORDS) and "(at)" not in low and "[at]" not in low)):
         out += _emails(text)
-    if _DIGIT.search(low):
+    if _LONG.search(low):
         out += _numbers(text)
+    if _DIGIT.search(low):
         if not words.isdisjoint(_STREET_WORDS) or any(x in low for x in _STREET_ENDS):
             out += _addresses(text)
     intro = any(x in low for x in _INTRO_PARTS)
