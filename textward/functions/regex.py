@@ -13,14 +13,17 @@ except ImportError:  # Python before 3.11
 FLAGS = "(?iuUd)"
 #: Shorter literals guard little.
 LEAST = 3
+#: More literals cost more than they save.
+MOST = 8
 
 
 def java_pattern(pattern: str) -> str:
-    """The pattern with the engine's flags; unbounded repetition of a last group is possessive.
+    """The pattern with the engine's flags and escapes; unbounded repetition of a last group is possessive.
 
     A repeated group recurses in the JVM once per round and overflows the stack on long texts;
     a possessive one does not, and matches the same text when nothing follows it.
     """
+    pattern = re.sub(r"\\U([0-9a-fA-F]{8})", lambda m: "\\x{" + m.group(1).lstrip("0") + "}", pattern)
     for lead in ("(?i)", "(?m)", "(?im)", "(?mi)", "(?s)", "(?is)"):
         if pattern.startswith(lead):
             extra = "".join(x for x in lead[2:-1] if x in "ms")
@@ -33,23 +36,33 @@ def possessive(pattern: str) -> str:
     return re.sub(r"(\)\{\d+,\}|\)\*|\)\+)(?=$|\|)", r"\1+", pattern)
 
 
+#: In place of a literal: any character beyond ASCII.
+BEYOND = "\x80"
+_SIGNS = frozenset("@`$<>{}[]|=#/\\" + BEYOND)
+
+
+def _tells(literal: str) -> bool:
+    return len(literal) >= LEAST or not _SIGNS.isdisjoint(literal)
+
+
 def required(pattern: str) -> list[str] | None:
     """Lower-case literals of which every match holds at least one, or None if there are none.
 
-    Used as a guard: a text without any of them needs no regular expression.
+    Used as a guard: a text without any of them needs no regular expression. BEYOND stands for
+    any character that is not ASCII.
     """
     try:
         parsed = sre.parse(re.sub(r"([+*}])\+", r"\1", pattern.replace("(?U)", "")), re.IGNORECASE)
     except (re.error, OverflowError, ValueError):
         return None
     found = _required(parsed)
-    return sorted(found) if found and min(map(len, found)) >= LEAST and len(found) <= 40 else None
+    return sorted(found) if found and all(map(_tells, found)) and len(found) <= MOST else None
 
 
 def _better(a: set[str] | None, b: set[str] | None) -> set[str] | None:
     if not a or not b:
         return a or b
-    return max(a, b, key=lambda s: (min(map(len, s)), -len(s)))
+    return max(a, b, key=lambda s: (all(map(_tells, s)), -len(s), min(map(len, s))))
 
 
 def _required(items) -> set[str] | None:
@@ -69,7 +82,9 @@ def _required(items) -> set[str] | None:
             continue
         close()
         inner = None
-        if name == "SUBPATTERN":
+        if name == "LITERAL" or name == "IN" and all(str(o) == "LITERAL" and v > 127 or str(o) == "RANGE" and v[0] > 127 for o, v in arg):
+            inner = {BEYOND}
+        elif name == "SUBPATTERN":
             inner = _required(arg[-1])
         elif name == "BRANCH":
             parts = [_required(x) for x in arg[1]]

@@ -7,7 +7,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from textward.functions.regex import java_pattern, required
+from textward.functions.normalize import sql_string
+from textward.functions.regex import BEYOND, java_pattern, required
 from textward.sources.catalog import Pattern, Signature
 
 MATCH = "struct<signature_id:string,engine:string,matched_text:string,score:double,confidence:double,severity:double>"
@@ -23,66 +24,58 @@ def expression(pattern: Pattern) -> str:
     return java_pattern(pattern.value) if pattern.type == "regex" else "(?i)" + re.escape(pattern.value)
 
 
-def guard(pattern: Pattern, low: Column) -> Column | None:
-    """A cheap test on the lower-cased text that every text with a match passes."""
+def guard(pattern: Pattern, text: str, low: str) -> str | None:
+    """A cheap SQL test that every text with a match passes, on the text and its lower case."""
     if pattern.type == "substring":
-        return low.contains(pattern.value.lower()) if pattern.value.isascii() else None
-    words = required(pattern.value)
+        words = [pattern.value.lower()] if pattern.value.isascii() else [BEYOND]
+    else:
+        words = required(pattern.value)
     if not words:
         return None
-    out = low.contains(words[0])
-    for word in words[1:]:
-        out = out | low.contains(word)
-    return out
+    return " OR ".join(f"octet_length({text}) > length({text})" if w == BEYOND else f"contains({low}, {sql_string(w)})" for w in words)
 
 
-def pattern_hit(pattern: Pattern, text: Column, low: Column) -> Column:
-    """The first match of a pattern, null without one (an empty match counts)."""
-    found = expression(pattern)
-    hit = F.when(text.rlike(found), F.regexp_extract(text, found, 0))
-    test = guard(pattern, low)
-    return hit if test is None else F.when(test, hit)
+def pattern_hit(pattern: Pattern, text: str, low: str) -> str:
+    """SQL of the first match of a pattern, null without one (an empty match counts)."""
+    found = sql_string(expression(pattern))
+    test = guard(pattern, text, low)
+    only = f"({test}) AND " if test else ""
+    return f"CASE WHEN {only}{text} RLIKE {found} THEN regexp_extract({text}, {found}, 0) END"
 
 
-def signature_hit(signature: Signature, text: Column, low: Column) -> Column:
-    """Matched text of a signature, or null: that of the first pattern in order that matches.
+def signature_hit(signature: Signature, text: str, low: str) -> str:
+    """SQL of the matched text of a signature, or null: that of the first pattern in order that matches.
 
     With condition ``all`` every pattern must match, and patterns of other types never do.
     """
     patterns = [p for p in signature.patterns if usable(p)]
     if not patterns or signature.condition == "all" and len(patterns) < len(signature.patterns):
-        return F.lit(None).cast("string")
+        return "CAST(NULL AS STRING)"
     hits = [pattern_hit(p, text, low) for p in patterns]
     if signature.condition == "all":
-        every = hits[0].isNotNull()
-        for h in hits[1:]:
-            every = every & h.isNotNull()
-        return F.when(every, hits[0])
-    return F.coalesce(*hits)
+        every = " AND ".join(f"({h}) IS NOT NULL" for h in hits)
+        return f"CASE WHEN {every} THEN {hits[0]} END"
+    return f"coalesce({', '.join(hits)})"
 
 
-def matches(signatures: list[tuple[Signature, float]], text: Column, low: Column, chunk: int = 10) -> Column:
+def matches(signatures: list[tuple[Signature, float]], text: str, low: str, chunk: int = 10) -> Column:
     """ARRAY<MATCH> of the signatures that hit, in order; ``signatures`` come with their points.
 
-    Built in chunks of signatures so that generated methods stay small; an empty text has no hits.
+    ``text`` and ``low`` name the columns of the normalised text and its lower case. Built as one SQL
+    expression (parsed once), in chunks of signatures so that generated methods stay small; an
+    empty text has no hits.
     """
-    none = F.array().cast(f"array<{MATCH}>")
     parts = []
     for at in range(0, len(signatures), chunk):
         tried = []
         for s, points in signatures[at : at + chunk]:
             c = s.base_confidence
             tried.append(
-                F.struct(
-                    F.lit(s.id).alias("signature_id"),
-                    F.lit("heuristic").alias("engine"),
-                    signature_hit(s, text, low).alias("matched_text"),
-                    F.lit(c * points).alias("score"),
-                    F.lit(c).alias("confidence"),
-                    F.lit(float(points)).alias("severity"),
-                ).cast(MATCH)
+                f"named_struct('signature_id', {sql_string(s.id)}, 'engine', 'heuristic', 'matched_text', {signature_hit(s, text, low)}, "
+                f"'score', {c * points!r}D, 'confidence', {c!r}D, 'severity', {float(points)!r}D)"
             )
-        parts.append(F.filter(F.array(*tried), lambda m: m["matched_text"].isNotNull()))
+        parts.append(f"filter(array({', '.join(tried)}), m -> m.matched_text IS NOT NULL)")
+    none = F.array().cast(f"array<{MATCH}>")
     if not parts:
         return none
-    return F.when(F.length(text) > 0, F.flatten(F.array(*parts))).otherwise(none)
+    return F.when(F.length(F.col(text)) > 0, F.expr(f"flatten(array({', '.join(parts)}))").cast(f"array<{MATCH}>")).otherwise(none)

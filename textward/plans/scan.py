@@ -49,7 +49,7 @@ class Scanner:
         """
         out = normalise(df.drop("decision", "score", "match_count", "matches"), text, "__norm")
         out = out.withColumn("__t", F.col("__norm.processed_text")).withColumn("__low", F.lower(F.col("__t")))
-        found = heuristic.matches(self.signatures(direction, "heuristic"), F.col("__t"), F.col("__low"))
+        found = heuristic.matches(self.signatures(direction, "heuristic"), "__t", "__low")
         parts = [found]
         for name in ("classifier", "semantic"):
             chosen = self.signatures(direction, name)
@@ -59,7 +59,7 @@ class Scanner:
         if self.judge is not None:
             out = self.judge(out, text, "matches")
         if self.monitor_log:
-            dropped = heuristic.matches(self.signatures(direction, "heuristic", "monitor"), F.col("__t"), F.col("__low"))
+            dropped = heuristic.matches(self.signatures(direction, "heuristic", "monitor"), "__t", "__low")
             out = out.withColumn("logged", dropped)
         out = out.withColumn("score", score_v2(F.col("matches")))
         inbound = F.lit(direction == "input")

@@ -14,3 +14,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def has_text(col) -> F.Column:
     """True where a text is neither null nor blank (any Unicode white space)."""
     return col.isNotNull() & col.rlike(r"(?U)\S")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over all cores where a table has fewer partitions than the cluster has cores.
+
+    Work on texts is bound by CPU; a small table in one file would run as one task. Larger tables stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
