@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textward.llm.lookalike import counts_key, member_counts
-from textward.sources.tables import has_text, table
+from textward.sources.tables import has_text, spread, table
 
 
 def requests(spark: SparkSession, folder: str) -> DataFrame:
@@ -15,7 +15,7 @@ def requests(spark: SparkSession, folder: str) -> DataFrame:
     Deliveries of one request repeat its text; results are reduced to one row per request
     where the rows are narrow.
     """
-    df = table(spark, folder, "scan_requests")
+    df = spread(table(spark, folder, "scan_requests"))
     return df.where(F.col("request_id").isNotNull() & has_text(F.col("text"))).select("request_id", "text", "source", "received_at")
 
 

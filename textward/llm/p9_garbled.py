@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textward.sources.tables import table
+from textward.sources.tables import spread, table
 
 #: (true encoding, encoding it was read in); undefined bytes of the latter read as controls.
 PAIRS = (
@@ -374,9 +374,9 @@ def restored(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
 
 def found(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id of the documents with a garbled passage, restorable or not."""
-    return restored(table(spark, folder, "documents"), "doc_id", "text").select(F.col("id").alias("doc_id"))
+    return restored(spread(table(spark, folder, "documents").select("doc_id", "text")), "doc_id", "text").select(F.col("id").alias("doc_id"))
 
 
 def texts(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, states, lost, text: the garbled documents, restored where possible."""
-    return restored(table(spark, folder, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+    return restored(spread(table(spark, folder, "documents").select("doc_id", "text")), "doc_id", "text").withColumnRenamed("id", "doc_id")

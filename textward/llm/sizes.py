@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from textward.llm.tokens import token_count
 from textward.session import materialise
-from textward.sources.tables import table
+from textward.sources.tables import spread, table
 
 
 def document_sizes(spark: SparkSession, folder: str, vocabulary: str | None = None) -> DataFrame:
@@ -15,7 +15,7 @@ def document_sizes(spark: SparkSession, folder: str, vocabulary: str | None = No
 
     Documents without id, with null text or without tokens are left out: they take no room.
     """
-    docs = table(spark, folder, "documents").where("doc_id IS NOT NULL AND text IS NOT NULL")
+    docs = spread(table(spark, folder, "documents").select("doc_id", "source", "text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
     sized = docs.select("doc_id", "source", token_count(vocabulary)("text").alias("n_tokens"))
     return materialise(sized.where(F.col("n_tokens") > 0), "sizes")
 
