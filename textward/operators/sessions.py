@@ -14,10 +14,15 @@ MAX_HISTORY = 500
 TTL = 1800
 
 
+def _micros(col) -> F.Column:
+    """Microseconds of a time, with or without zone (the session's zone should be UTC)."""
+    return F.unix_micros(F.col(col).cast("timestamp") if isinstance(col, str) else col.cast("timestamp"))
+
+
 def turns(df: DataFrame, session: str = "session_id", ts: str = "ts", tie: str = "request_id", ttl: int = TTL) -> DataFrame:
     """Add ``life`` (0, 1, ...) and ``turn`` (1, ...) within it; rows without session or time are left out."""
     w = Window.partitionBy(session).orderBy(ts, tie)
-    gap = F.unix_micros(ts) - F.lag(F.unix_micros(ts)).over(w)
+    gap = _micros(ts) - F.lag(_micros(ts)).over(w)
     fresh = F.when(gap >= ttl * 1_000_000, 1).otherwise(0)
     lives = df.where(F.col(session).isNotNull() & F.col(ts).isNotNull()).withColumn("_fresh", fresh).withColumn("life", F.sum("_fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return lives.withColumn("turn", F.row_number().over(Window.partitionBy(session, "life").orderBy(ts, tie))).drop("_fresh")
@@ -46,4 +51,4 @@ def running(df: DataFrame, session: str = "session_id", ts: str = "ts", tie: str
 
 def expired(states: DataFrame, now, ttl: int = TTL) -> DataFrame:
     """States not used for ``ttl`` seconds at ``now``: what a clean-up removes."""
-    return states.where(F.unix_micros(F.lit(now).cast("timestamp")) - F.unix_micros("last_accessed") >= ttl * 1_000_000)
+    return states.where(_micros(F.lit(now)) - _micros("last_accessed") >= ttl * 1_000_000)
