@@ -11,6 +11,8 @@ except ImportError:  # Python before 3.11
 
 #: Case-insensitive, Unicode classes and folding, and only \n ends a line.
 FLAGS = "(?iuUd)"
+#: Rounds of a repeated group, beyond the least number, inside a pattern.
+ROUNDS = 40
 #: Shorter literals guard little.
 LEAST = 3
 #: More literals cost more than they save.
@@ -32,8 +34,18 @@ def java_pattern(pattern: str) -> str:
 
 
 def possessive(pattern: str) -> str:
-    """``(...){n,}`` at the end of a pattern or alternative becomes possessive and non-capturing."""
-    return re.sub(r"(\)\{\d+,\}|\)\*|\)\+)(?=$|\|)", r"\1+", pattern)
+    """No unbounded repetition of a group that the JVM would recurse into.
+
+    At the end of a pattern or alternative ``(...){n,}`` becomes possessive. Elsewhere it is
+    bounded to ROUNDS further rounds; a longer repetition still matches if what follows does.
+    """
+    pattern = re.sub(r"(?<!\\)(\)(?:\{\d+,\}|\*|\+))(?=$|\|)", r"\1+", pattern)
+
+    def bound(m: re.Match) -> str:
+        least = int(m.group(2)) if m.group(2) else int(m.group(1) == "+")
+        return f"){{{least},{least + ROUNDS}}}"
+
+    return re.sub(r"(?<!\\)\)(\*|\+|\{(\d+),\})(?!\+)", bound, pattern)
 
 
 #: In place of a literal: any character beyond ASCII.

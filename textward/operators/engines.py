@@ -144,33 +144,36 @@ def classifier_engine(models: dict[str, Scorer]):
             # bound once through an array, so that a model is not run once per signature
             result = F.array(infer(scorer, F.col(text)))
 
-            def build(r: Column, own=own) -> Column:
-                sure = F.when(r["confidence"] == 0, F.lit(ASSUMED_CONFIDENCE)).otherwise(r["confidence"])
-                made = [F.struct(F.lit(s.id).alias("signature_id"), F.lit("classifier").alias("engine"), F.left(F.col(text), F.lit(SHOWN)).alias("matched_text"), (sure * p).alias("score"), sure.alias("confidence"), F.lit(p).alias("severity")).cast(MATCH) for s, p in own]
-                hit = r["confidence"].isNotNull() & ~r["label"].isin(*BENIGN) & (r["confidence"] >= LEAST_CONFIDENCE)
-                return F.when(hit, F.array(*made)).otherwise(F.array().cast(NONE))
-
-            parts.append(F.flatten(F.transform(result, build)))
+            parts.append(F.flatten(F.transform(result, _hits_of(own, text))))
         return F.concat(*parts) if parts else F.array().cast(NONE)
 
     return engine
 
 
+def _hits_of(own: list[tuple[Signature, float]], text: str):
+    def build(r: Column) -> Column:
+        sure = F.when(r["confidence"] == 0, F.lit(ASSUMED_CONFIDENCE)).otherwise(r["confidence"])
+        made = [F.struct(F.lit(s.id).alias("signature_id"), F.lit("classifier").alias("engine"), F.left(F.col(text), F.lit(SHOWN)).alias("matched_text"), (sure * p).alias("score"), sure.alias("confidence"), F.lit(p).alias("severity")).cast(MATCH) for s, p in own]
+        hit = r["confidence"].isNotNull() & ~r["label"].isin(*BENIGN) & (r["confidence"] >= LEAST_CONFIDENCE)
+        return F.when(hit, F.array(*made)).otherwise(F.array().cast(NONE))
+
+    return build
+
+
 def semantic_engine(index, vector: str, thresholds: dict[str, float] | None = None, default: float = 0.75):
     """Engine of semantic signatures over a column of embedding vectors and a phrase index."""
 
     def engine(df: DataFrame, text: str, signatures: list[tuple[Signature, float]]) -> Column:
         near = index.nearest(vector)
         limits = {s.id: next((p.similarity_threshold for p in s.patterns if p.similarity_threshold is not None), default) for s, _ in signatures} | (thresholds or {})
-        parts = []
-        for s, points in signatures:
-            def best(n: Column, s=s, points=points) -> Column:
-                sim = F.array_max(F.transform(F.filter(n, lambda x: x["label"] == s.id), lambda x: x["similarity"]))
-                made = F.struct(F.lit(s.id).alias("signature_id"), F.lit("semantic").alias("engine"), F.format_string("semantic similarity=%.3f", sim).alias("matched_text"), (sim * points).alias("score"), sim.alias("confidence"), F.lit(points).alias("severity")).cast(MATCH)
-                return F.when((sim > 0) & (sim >= limits[s.id]), F.array(made)).otherwise(F.array().cast(NONE))
-
-            parts.append(best)
-        return F.flatten(F.transform(F.array(near), lambda n: F.concat(*[p(n) for p in parts]))) if parts else F.array().cast(NONE)
+        def best(n: Column, s: Signature, points: float) -> Column:
+            sim = F.array_max(F.transform(F.filter(n, lambda x: x["label"] == s.id), lambda x: x["similarity"]))
+            made = F.struct(F.lit(s.id).alias("signature_id"), F.lit("semantic").alias("engine"), F.format_string("semantic similarity=%.3f", sim).alias("matched_text"), (sim * points).alias("score"), sim.alias("confidence"), F.lit(points).alias("severity")).cast(MATCH)
+            return F.when((sim > 0) & (sim >= limits[s.id]), F.array(made)).otherwise(F.array().cast(NONE))
+
+        if not signatures:
+            return F.array().cast(NONE)
+        return F.flatten(F.transform(F.array(near), lambda n: F.concat(*[best(n, s, p) for s, p in signatures])))
 
     return engine
 
