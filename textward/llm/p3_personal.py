@@ -93,13 +93,13 @@ def em(votes: np.ndarray, weight: np.ndarray, rounds: int = 30) -> np.ndarray:
     true spans alone are not parted in two classes. One pattern or constant labelers are fine.
     """
     prob = 1 / (1 + np.exp(-1.5 * (votes.sum(axis=1) - 0.5)))
-    trust = 0.3 * weight.sum()
+    trust = 0.3 * weight.sum() + 20
     for _ in range(rounds):
         score = np.zeros(len(votes))
         for sign, p, prior in ((1, prob, {1: 0.6, 0: 0.35, -1: 0.05}), (-1, 1 - prob, {1: 0.1, 0: 0.5, -1: 0.4})):
             w = weight * p
             total = w.sum()
-            score += sign * np.log((total + 1) / (weight.sum() + 2))
+            score += sign * np.log((total + trust) / (weight.sum() + 2 * trust))
             for j in range(votes.shape[1]):
                 for v in (-1, 0, 1):
                     at = votes[:, j] == v
