@@ -248,8 +248,23 @@ class Model:
                 spans[-1][1] = place + 1
             else:
                 spans.append([place, place + 1, state])
+        for k, span in enumerate(spans):
+            # a word is not garbled by halves: a span takes in the unlabelled rest of its run
+            low = spans[k - 1][1] if k else 0
+            high = spans[k + 1][0] if k + 1 < len(spans) else len(text)
+            while span[0] > low and self._extends(text[span[0] - 1], span[2]):
+                span[0] -= 1
+            while span[1] < high and self._extends(text[span[1]], span[2]):
+                span[1] += 1
         return [tuple(s) for s in spans]
 
+    @staticmethod
+    def _extends(ch: str, state: int) -> bool:
+        """Whether a character beyond ASCII reads as one character in a state of two single-byte encodings."""
+        if ch < "\x80" or state == LOST or PAIRS[state - 1][0] in ("utf-8", "utf-8 twice", "euc_jp", "cp932", "gbk", "euc_kr"):
+            return False
+        return read_char(*PAIRS[state - 1], ch)[1] == 1
+
     def restore(self, text: str) -> tuple[str, list[int]]:
         """The text with every garbled span put right where that is possible, and the states found."""
         found: list[int] = []
@@ -265,7 +280,8 @@ class Model:
                 out += (text[at:start], new)
                 at = end
             text = "".join(out) + text[at:]
-            if not changed:
+            # only UTF-8 read wrongly is written as UTF-8 and read wrongly again
+            if not changed or any(state != LOST and not PAIRS[state - 1][0].startswith("utf-8") for _, _, state in spans):
                 break
         return text, found
 
