@@ -24,10 +24,13 @@ CONFIDENCES = {"high": 0.90, "medium": 0.70, "low": 0.45}
 _CASE = " ".join(f"WHEN '{k}' THEN {v}" for k, v in CONFIDENCES.items())
 
 
-def requests(spark: SparkSession, folder: str) -> DataFrame:
-    """Each request once: the earliest delivery (deliveries repeat text and time)."""
+def requests(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    """Each request once: the earliest delivery (deliveries repeat text and time).
+
+    Only the named columns go through the shuffle; all of them if none is named.
+    """
     rows = table(spark, folder, "scan_requests").where("request_id IS NOT NULL")
-    names = ["received_at", "session_id", "direction", "source", "text", "ts"]
+    names = list(columns) or ["received_at", "session_id", "direction", "source", "text", "ts"]
     once = rows.groupBy("request_id").agg(F.min_by(F.struct(*names), F.struct(F.col("received_at").isNull(), "received_at")).alias("x"))
     return once.select("request_id", "x.*")
 
@@ -50,13 +53,13 @@ def _arrays(spark: SparkSession, folder: str) -> DataFrame:
     """request_id, direction, matches in order (a request has few); requests without matches have none."""
     kind = "array<struct<match_no:int,match_id:bigint,signature_id:string,score:double,confidence:double,severity:double>>"
     listed = matches(spark, folder).groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("match_no", "match_id", "signature_id", "score", "confidence", "severity"))).alias("matches"))
-    both = requests(spark, folder).select("request_id", "direction", "source").join(listed, "request_id", "left")
+    both = requests(spark, folder, "direction", "source").join(listed, "request_id", "left")
     return both.withColumn("matches", F.coalesce(F.col("matches"), F.array().cast(kind)))
 
 
 def scan_requests_decisions(spark: SparkSession, folder: str) -> DataFrame:
     """Every request scanned by the built-in catalog: decision, score and ids of the hits in order."""
-    rows = spread(requests(spark, folder).select("request_id", "direction", "text"))
+    rows = spread(requests(spark, folder, "direction", "text").select("request_id", "direction", "text"))
     out = Scanner().scan_both(rows)
     return out.select("request_id", "direction", "decision", F.round("score", 6).alias("score"), F.array_join(F.transform("matches", lambda m: m["signature_id"]), ",").alias("signatures"))
 
@@ -70,41 +73,41 @@ def scan_documents(spark: SparkSession, folder: str) -> DataFrame:
 
 def scan_monitor_mode(spark: SparkSession, folder: str) -> DataFrame:
     """A monitor policy: nothing is enforced, so every score is 0 and every decision allow."""
-    rows = spread(requests(spark, folder).select("request_id", "direction", "text"))
+    rows = spread(requests(spark, folder, "direction", "text").select("request_id", "direction", "text"))
     out = Scanner(policy=MONITOR_ONLY).scan_both(rows)
     return out.select("request_id", "decision", "score", F.size("matches").alias("match_count"))
 
 
 def scan_response_fields(spark: SparkSession, folder: str) -> DataFrame:
     """The response rows: one per match, with the five fields a caller sees."""
-    rows = spread(requests(spark, folder).where("direction = 'output'").select("request_id", "text"))
+    rows = spread(requests(spark, folder, "direction", "text").where("direction = 'output'").select("request_id", "text"))
     out = response(Scanner().scan(rows, "output"), "request_id")
     return out.select("request_id", "decision", F.posexplode("matches").alias("pos", "m")).select("request_id", "decision", "pos", "m.*")
 
 
 def strip_invisible(spark: SparkSession, folder: str) -> DataFrame:
-    rows = requests(spark, folder).where("text IS NOT NULL")
+    rows = requests(spark, folder, "text").where("text IS NOT NULL")
     return rows.select("request_id", n.strip_invisible(F.col("text")).alias("stripped"), n.count_of(F.col("text"), n.INVISIBLE).cast("long").alias("removed"), n.count_of(F.col("text"), n.BIDI).cast("long").alias("bidi"), n.count_of(F.col("text"), n.ZERO_WIDTH).cast("long").alias("zero_width"))
 
 
 def map_lookalikes(spark: SparkSession, folder: str) -> DataFrame:
-    rows = requests(spark, folder).where("text IS NOT NULL")
+    rows = requests(spark, folder, "text").where("text IS NOT NULL")
     mapped = n.map_lookalikes(F.col("text"))
     return rows.select("request_id", mapped.alias("mapped"), (mapped != F.col("text")).alias("changed"))
 
 
 def rot13(spark: SparkSession, folder: str) -> DataFrame:
-    return requests(spark, folder).where("text IS NOT NULL").select("request_id", n.rot13(F.col("text")).alias("turned"), n.looks_english(F.col("text")).alias("english"))
+    return requests(spark, folder, "text").where("text IS NOT NULL").select("request_id", n.rot13(F.col("text")).alias("turned"), n.looks_english(F.col("text")).alias("english"))
 
 
 def normalised(spark: SparkSession, folder: str) -> DataFrame:
     """Every request through the whole normaliser."""
-    out = n.normalise(spread(requests(spark, folder)))
+    out = n.normalise(spread(requests(spark, folder, "text")))
     return out.select("request_id", "norm.processed_text", F.array_join("norm.encodings_found", ",").alias("encodings"), "norm.invisible_chars_removed", "norm.homoglyphs_mapped", "norm.was_truncated")
 
 
 def _encoded(spark: SparkSession, folder: str, how) -> DataFrame:
-    rows = requests(spark, folder).where(has_text(F.col("text")) & (F.length("text") >= 8))
+    rows = requests(spark, folder, "text").where(has_text(F.col("text")) & (F.length("text") >= 8))
     d = n.decode(F.col("e"))
     out = rows.select("request_id", how(F.col("text")).alias("e")).withColumn("d", d)
     return out.select("request_id", F.col("d.t").alias("decoded"), F.element_at(F.col("d.enc"), 1).alias("first_encoding"))
@@ -120,7 +123,7 @@ def decode_hex(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def entropy(spark: SparkSession, folder: str) -> DataFrame:
-    rows = spread(requests(spark, folder).where(has_text(F.col("text"))))
+    rows = spread(requests(spark, folder, "text").where(has_text(F.col("text"))))
     value = n.entropy(F.col("text"))
     out = rows.select("request_id", F.octet_length("text").alias("b"), value.alias("e"))
     return out.select("request_id", F.round("e", 6).alias("entropy"), ((F.col("b") >= 20) & ((F.col("e") < 3.0) | (F.col("e") > 4.5))).alias("abnormal"))
@@ -132,7 +135,7 @@ def substring_signatures(spark: SparkSession, folder: str) -> DataFrame:
     The catalog (a fixed table) is compiled into the plan, so the texts are read once and not joined.
     """
     rules = table(spark, folder, "signature_patterns").where("pattern_type = 'substring' AND pattern_value <> ''").select("signature_id", "pattern_value").orderBy("signature_id", "pattern_id").collect()
-    rows = spread(requests(spark, folder).where(has_text(F.col("text"))).select("request_id", "text"))
+    rows = spread(requests(spark, folder, "text").where(has_text(F.col("text"))).select("request_id", "text"))
     low = rows.withColumn("low", F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
     tests = [f"IF(contains(low, {n.sql_string(r.pattern_value.translate(_LOWER))}), {n.sql_string(r.signature_id)}, NULL)" for r in rules]
     found = F.expr(f"array_distinct(array_compact(array({', '.join(tests)})))") if tests else F.array().cast("array<string>")
@@ -146,7 +149,7 @@ def condition_signatures(spark: SparkSession, folder: str) -> DataFrame:
     """request_id, any_hit, all_hit: one made-up signature with three words, under both conditions."""
     words = ("ticket", "project", "table")
     make = lambda condition: Signature("X-1", "words", "1", "agentic", "x", "x", "low", "high", "low", "heuristic", "input", condition, 1, True, True, "enforce", patterns=tuple(Pattern("substring", w) for w in words))
-    rows = requests(spark, folder).where(has_text(F.col("text"))).select("request_id", "text", F.lower("text").alias("low"))
+    rows = requests(spark, folder, "text").where(has_text(F.col("text"))).select("request_id", "text", F.lower("text").alias("low"))
     return rows.select("request_id", F.expr(signature_hit(make("any"), "text", "low")).isNotNull().alias("any_hit"), F.expr(signature_hit(make("all"), "text", "low")).isNotNull().alias("all_hit"))
 
 
@@ -231,7 +234,7 @@ def semantic_hits(spark: SparkSession, folder: str) -> DataFrame:
 
 def _turns(spark: SparkSession, folder: str) -> DataFrame:
     scored = table(spark, folder, "scan_responses").select("request_id", "score")
-    return requests(spark, folder).select("request_id", "session_id", "ts").join(scored, "request_id", "left")
+    return requests(spark, folder, "session_id", "ts").join(scored, "request_id", "left")
 
 
 def session_states(spark: SparkSession, folder: str) -> DataFrame:
@@ -255,7 +258,7 @@ def session_history(spark: SparkSession, folder: str) -> DataFrame:
 
 def guarded_calls(spark: SparkSession, folder: str) -> DataFrame:
     """Inputs and outputs of a session paired by their number: the decision of each guarded call."""
-    d = requests(spark, folder).where("session_id IS NOT NULL").join(table(spark, folder, "scan_responses").select("request_id", "decision"), "request_id")
+    d = requests(spark, folder, "session_id", "direction", "ts").where("session_id IS NOT NULL").join(table(spark, folder, "scan_responses").select("request_id", "decision"), "request_id")
     d = d.withColumn("call", F.row_number().over(Window.partitionBy("session_id", "direction").orderBy("ts", "request_id")))
     return guarded(d.where("direction = 'input'"), d.where("direction = 'output'"), ["session_id", "call"])
 
@@ -269,7 +272,7 @@ def top_signatures(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def decision_rates(spark: SparkSession, folder: str) -> DataFrame:
-    rows = requests(spark, folder).join(table(spark, folder, "scan_responses").select("request_id", "decision"), "request_id")
+    rows = requests(spark, folder, "source", "direction").join(table(spark, folder, "scan_responses").select("request_id", "decision"), "request_id")
     return reports.decision_rates(rows, "source", "direction").withColumn("block_rate", F.round("block_rate", 6))
 
 
