@@ -79,10 +79,11 @@ def scan_monitor_mode(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def scan_response_fields(spark: SparkSession, folder: str) -> DataFrame:
-    """The response rows: one per match, with the five fields a caller sees."""
-    rows = spread(requests(spark, folder, "direction", "text").where("direction = 'output'").select("request_id", "text"))
-    out = response(Scanner().scan(rows, "output"), "request_id")
-    return out.select("request_id", "decision", F.posexplode("matches").alias("pos", "m")).select("request_id", "decision", "pos", "m.*")
+    """The response rows of inputs and outputs: one per match, with the five fields a caller sees."""
+    rows = spread(requests(spark, folder, "direction", "text").select("request_id", "direction", "text"))
+    out = response(Scanner().scan_both(rows), "request_id")
+    # the outer form, since Spark puts a filter with all patterns once more below the other
+    return out.select("request_id", "decision", F.posexplode_outer("matches").alias("pos", "m")).where("pos IS NOT NULL").select("request_id", "decision", "pos", "m.*")
 
 
 def strip_invisible(spark: SparkSession, folder: str) -> DataFrame:
