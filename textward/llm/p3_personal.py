@@ -18,11 +18,11 @@ from pyspark.sql import functions as F
 
 from textward.llm.data import requests
 from textward.llm.lookalike import counts_key, member_counts, rewriter_of
-from textward.llm.pii_spans import TYPES, introduced_names, spans
+from textward.llm.pii_spans import TYPES, introduced_names, name_words, spans
 from textward.session import materialise
 from textward.sources.tables import has_text, table
 
-#: Size of the gazetteer, a model parameter: the most frequent given and family names each.
+#: Up to so many given and family names each go to every worker; larger gazetteers are joined with the words of the texts.
 NAMES = 50_000
 #: A name enters the gazetteer when introduced this often.
 TIMES = 2
@@ -46,8 +46,8 @@ def texts(spark: SparkSession, folder: str) -> DataFrame:
     return a.unionByName(m.select(F.lit(1).alias("kind"), F.col("match_id").alias("id"), F.col("matched_text").alias("text")))
 
 
-def gazetteer(df: DataFrame, key: tuple) -> tuple[dict[str, int], dict[str, int]]:
-    """Given and family names that phrases introduce, with counts over all texts; at most NAMES each."""
+def gazetteer(df: DataFrame, key: tuple) -> DataFrame:
+    """name, given, family (BOOLEAN): all names that phrases introduce TIMES or more, written to the shared folder."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rewrite, seen = rewriter_of(key), Counter()
@@ -59,30 +59,62 @@ def gazetteer(df: DataFrame, key: tuple) -> tuple[dict[str, int], dict[str, int]
         rows = list(seen.items())
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in rows], pa.int32()), pa.array([k[1] for k, _ in rows], pa.string()), pa.array([n for _, n in rows], pa.int64())], ["part", "name", "n"])
 
-    names = df.select("text").mapInArrow(find, "part int, name string, n long").groupBy("part", "name").agg(F.sum("n").alias("n")).where(F.col("n") >= TIMES)
-    out = []
-    for part in (0, 1):
-        top = names.where(F.col("part") == part).orderBy(F.desc("n"), "name").limit(NAMES)
-        out.append({r.name: r.n for r in top.select("name", "n").collect()})
-    given, family = out
+    counted = df.select("text").mapInArrow(find, "part int, name string, n long").groupBy("name")
+    times = lambda part: F.sum(F.when(F.col("part") == part, F.col("n")).otherwise(0))
+    names = counted.agg(times(0).alias("g"), times(1).alias("f")).where(F.greatest("g", "f") >= TIMES)
+    names = names.select("name", *[F.when(F.col(c) >= TIMES, F.col(c)).otherwise(0).alias(c) for c in ("g", "f")])
     # a word counts as what it is introduced as more often
-    return {x: n for x, n in given.items() if n > family.get(x, 0)}, {x: n for x, n in family.items() if n >= given.get(x, 0)}
+    return materialise(names.select("name", (F.col("g") > F.col("f")).alias("given"), (F.col("f") >= F.col("g")).alias("family")), "names")
 
 
-def candidates(df: DataFrame, key: tuple, names: tuple) -> DataFrame:
+def with_names(df: DataFrame, key: tuple, names: DataFrame) -> tuple[DataFrame, tuple | None]:
+    """(kind, id, text, given, family of the texts; the whole gazetteer, if it is small enough for every worker).
+
+    ``given`` and ``family`` list the known names among a text's words; they are null where the
+    whole gazetteer is returned. Otherwise the words of each text meet the names by a hash join.
+    """
+    sizes = names.agg(F.count_if("given").alias("g"), F.count_if("family").alias("f")).first()
+    if sizes.g <= NAMES and sizes.f <= NAMES:
+        rows = names.collect()
+        none = F.lit(None).cast("array<string>")
+        whole = dict.fromkeys((r.name for r in rows if r.given), 1), dict.fromkeys((r.name for r in rows if r.family), 1)
+        return df.select("kind", "id", "text", none.alias("given"), none.alias("family")), whole
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rewrite = rewriter_of(key)
+        for batch in batches:
+            out = [(kind, i, h, w) for kind, i, h, t in zip(*(batch.column(c).to_pylist() for c in range(4))) for w in name_words(rewrite(t))]
+            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate(kinds)], ["kind", "id", "hash", "name"])
+
+    by = ["kind", "id", "hash"]
+    df = df.select("kind", "id", F.xxhash64("text").alias("hash"), "text")
+    words = df.mapInArrow(split, "kind int, id long, hash long, name string").join(names, "name")
+    pick = lambda c: F.collect_set(F.when(F.col(c), F.col("name"))).alias(c)
+    known = words.groupBy(*by).agg(pick("given"), pick("family"))
+    rows = df.join(known, by, "left")
+    return rows.select("kind", "id", "text", *[F.coalesce(c, F.array().cast("array<string>")).alias(c) for c in ("given", "family")]), None
+
+
+def _known(whole: tuple | None, given: list[str] | None, family: list[str] | None) -> tuple[dict[str, int], dict[str, int]]:
+    """Given and family names for one text."""
+    return whole if whole is not None else (dict.fromkeys(given, 1), dict.fromkeys(family, 1))
+
+
+def candidates(df: DataFrame, key: tuple, names: DataFrame) -> DataFrame:
     """kind, id, pii_type (index into TYPES), key: one row per candidate span."""
-    given, family = names
+    rows, whole = with_names(df, key, names)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rewrite = rewriter_of(key)
         for batch in batches:
             out: list[tuple] = []
-            for kind, i, t in zip(*(batch.column(c).to_pylist() for c in range(3))):
-                out += [(kind, i, TYPES.index(s.kind), s.key) for s in spans(rewrite(t), given, family, COMMON)]
+            for kind, i, t, g, f in zip(*(batch.column(c).to_pylist() for c in range(5))):
+                out += [(kind, i, TYPES.index(s.kind), s.key) for s in spans(rewrite(t), *_known(whole, g, f), COMMON)]
             kinds = (pa.int32(), pa.int64(), pa.int32(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate(kinds)], ["kind", "id", "pii_type", "key"])
 
-    return df.select("kind", "id", "text").mapInArrow(find, "kind int, id long, pii_type int, key string")
+    return rows.mapInArrow(find, "kind int, id long, pii_type int, key string")
 
 
 def em(votes: np.ndarray, weight: np.ndarray, rounds: int = 30) -> np.ndarray:
@@ -133,7 +165,7 @@ def fit(counts: list[tuple[int, str, int]]) -> dict[tuple[int, str], float]:
     return out
 
 
-def model(spark: SparkSession, folder: str) -> tuple[DataFrame, tuple, tuple, dict[tuple[int, str], float]]:
+def model(spark: SparkSession, folder: str) -> tuple[DataFrame, tuple, DataFrame, dict[tuple[int, str], float]]:
     """(candidates written to the shared folder, frequencies, gazetteer, classifier)."""
     df = texts(spark, folder)
     key = counts_key(member_counts(df, "text"))
@@ -170,14 +202,15 @@ def masked(spark: SparkSession, folder: str) -> DataFrame:
     The rest of a text stays as written. One row per record; deliveries repeat the text.
     """
     _, key, names, score = model(spark, folder)
+    known, whole = with_names(texts(spark, folder), key, names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rewrite = rewriter_of(key)
         for batch in batches:
             out = []
-            for kind, i, t in zip(*(batch.column(c).to_pylist() for c in range(3))):
+            for kind, i, t, g, f in zip(*(batch.column(c).to_pylist() for c in range(5))):
                 form, places = rewrite.aligned(t)
-                got, at, parts = chosen(form, names, score), 0, []
+                got, at, parts = chosen(form, _known(whole, g, f), score), 0, []
                 for start, end, what in got:
                     start, end = places(start), places(end)
                     if start >= at:
@@ -188,5 +221,5 @@ def masked(spark: SparkSession, folder: str) -> DataFrame:
             types = (pa.string(), pa.int64(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate(types)], ["record_kind", "record_id", "masked"])
 
-    rows = texts(spark, folder).select("kind", "id", "text").mapInArrow(run, "record_kind string, record_id long, masked string")
+    rows = known.mapInArrow(run, "record_kind string, record_id long, masked string")
     return rows.groupBy("record_kind", "record_id").agg(F.min("masked").alias("masked"))

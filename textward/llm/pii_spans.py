@@ -203,6 +203,12 @@ def _names(text: str, intro: bool, given: dict[str, int], family: dict[str, int]
             break
 
 
+def name_words(text: str) -> set[str]:
+    """The words of a text that :func:`spans` looks up among the names: lower-cased ones to begin with, case-folded ones after."""
+    words = _WORDS.findall(text)
+    return {w.casefold() for w in words} | set(_WORDS.findall(text.lower()))
+
+
 def spans(text: str, given: dict[str, int], family: dict[str, int], common: frozenset[str]) -> list[Span]:
     """All candidates of a text in consistent form, in order of type."""
     low = text.lower()
