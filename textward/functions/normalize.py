@@ -24,6 +24,8 @@ BIDI = "".join(map(chr, [*range(0x202A, 0x202F), *range(0x2066, 0x206A)]))
 ZERO_WIDTH = "".join(map(chr, [0x200B, 0x200C, 0x200D, 0xFEFF, 0x2060]))
 LOOKALIKE_FROM, LOOKALIKE_TO = "аеорсухіѕһ", "aeopcyxish"
 ENGLISH_MARKS = ("the", "and", "you", "ignore", "system", "instructions", "prompt")
+#: White space of any kind.
+BLANKS = "".join(map(chr, [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 ROT_FROM = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 ROT_TO = "NOPQRSTUVWXYZABCDEFGHIJKLMnopqrstuvwxyzabcdefghijklm"
 
@@ -34,10 +36,14 @@ def sql_string(value: str) -> str:
 
 
 @F.pandas_udf(T.StringType())
-def nfkc(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Unicode compatibility form; null stays null."""
+def _nfkc(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for part in texts:
-        yield pd.Series([t if t is None or t.isascii() else unicodedata.normalize("NFKC", t) for t in part], dtype=object)
+        yield pd.Series([None if t is None else unicodedata.normalize("NFKC", t) for t in part], dtype=object)
+
+
+def nfkc(text: Column) -> Column:
+    """Unicode compatibility form; null stays null. Only texts beyond ASCII leave the JVM."""
+    return F.coalesce(_nfkc(F.when(F.octet_length(text) > F.length(text), text)), text)
 
 
 def truncate(text: Column) -> Column:
@@ -72,18 +78,19 @@ def rot13(text: Column) -> Column:
 
 
 def looks_english(text: Column) -> Column:
-    return F.lower(text).rlike("|".join(ENGLISH_MARKS))
+    """Whether a text holds one of the marks, in any case."""
+    return text.rlike("(?i)" + "|".join(ENGLISH_MARKS))
 
 
 def trim(text: Column) -> Column:
     """Without white space of any kind at either end."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def try_base64(text: Column) -> Column:
     """The text behind canonical, padded base64 (white space inside is ignored), or null."""
     body = trim(text)
-    packed = F.regexp_replace(body, r"(?U)\s", "")
+    packed = F.translate(body, BLANKS, "")
     raw = F.try_to_binary(packed, F.lit("base64"))
     fits = (F.octet_length(body) >= 4) & body.rlike(r"(?U)^[A-Za-z0-9+/=\s]+$") & (F.length(packed) % 4 == 0)
     same = F.regexp_replace(F.base64(raw), r"\s", "") == packed
@@ -128,7 +135,9 @@ def decode(text: Column) -> Column:
 
         return F.when(state["stop"], state).otherwise(F.element_at(F.transform(tried, choose), 1))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(MAX_DEPTH)), start, step)
+    # prose has a character no encoding has, and passes by; the test ends at the first such character
+    encoded = text.rlike(r"(?U)\A[A-Za-z0-9+/=\s]*\z") | (~looks_english(text) & looks_english(rot13(text)))
+    return F.when(encoded, F.aggregate(F.sequence(F.lit(1), F.lit(MAX_DEPTH)), start, step)).otherwise(result(text, F.array().cast("array<string>"), True))
 
 
 def normalise(df: DataFrame, text: str = "text", prefix: str = "norm") -> DataFrame:

@@ -34,6 +34,13 @@ VERDICTS = {"UNSAFE": 0.95, "LIKELY_UNSAFE": 0.75, "AMBIGUOUS": 0.50, "LIKELY_SA
 JUDGE_ID, JUDGE_POINTS = "LLM-JUDGE-001", 10.0
 
 
+def _made(ident: str, engine: str, shown: Column, score: Column, confidence: Column, severity: float, text: str) -> Column:
+    """A match on a whole text."""
+    fields = {"signature_id": F.lit(ident), "engine": F.lit(engine), "matched_text": shown, "score": score, "confidence": confidence, "severity": F.lit(severity)}
+    whole = {"match_offset": F.lit(0), "match_length": F.octet_length(text)}
+    return F.struct(*[c.alias(n) for n, c in (fields | whole).items()]).cast(MATCH)
+
+
 def model_of(signature: Signature) -> str:
     """The model a classifier signature is sent to."""
     return signature.model or ("toxicity" if signature.category == "content-safety" else "injection")
@@ -75,12 +82,12 @@ class BagClassifier:
 class OnnxClassifier:
     """An ONNX sequence classifier with its tokenizer in a local folder, loaded once per worker."""
 
-    def __init__(self, folder: str) -> None:
-        self.folder = folder
+    def __init__(self, folder: str, batch: int = 32) -> None:
+        self.folder, self.batch = folder, batch
         self._loaded = None
 
     def __getstate__(self) -> dict:
-        return {"folder": self.folder, "_loaded": None}
+        return {"folder": self.folder, "batch": self.batch, "_loaded": None}
 
     @staticmethod
     def available(folder: str | Path) -> bool:
@@ -102,17 +109,31 @@ class OnnxClassifier:
     def __call__(self, texts: list[str]) -> list[tuple[float, str]]:
         session, tokenizer, labels = self._loaded or self._load()
         names = {i.name for i in session.get_inputs()}
+        tokenizer.enable_padding()
         out = []
-        for text in texts:
-            ids = tokenizer.encode(text)
-            feed = {"input_ids": np.array([ids.ids]), "attention_mask": np.array([ids.attention_mask]), "token_type_ids": np.array([ids.type_ids])}
-            logits = session.run(None, {k: v for k, v in feed.items() if k in names})[0][0]
-            p = np.exp(logits - logits.max())
-            p /= p.sum()
-            out.append((float(p.max()), labels.get(int(p.argmax()), str(int(p.argmax())))))
+        for at in range(0, len(texts), self.batch):
+            coded = tokenizer.encode_batch(texts[at : at + self.batch])
+            feed = {"input_ids": [x.ids for x in coded], "attention_mask": [x.attention_mask for x in coded], "token_type_ids": [x.type_ids for x in coded]}
+            logits = session.run(None, {k: np.array(v, dtype=np.int64) for k, v in feed.items() if k in names})[0]
+            p = np.exp(logits - logits.max(axis=1, keepdims=True))
+            p /= p.sum(axis=1, keepdims=True)
+            out += [(float(row.max()), labels.get(int(row.argmax()), str(int(row.argmax())))) for row in p]
         return out
 
 
+def _scored(scorer: Scorer, texts: list[str]) -> list[tuple[float | None, str | None]]:
+    """Results of a scorer; a batch that fails is halved, so that only the text at fault has none."""
+    if not texts:
+        return []
+    try:
+        return list(scorer(texts))
+    except Exception:  # noqa: BLE001  (a broken model must not end a scan)
+        if len(texts) == 1:
+            return [(None, None)]
+        half = len(texts) // 2
+        return _scored(scorer, texts[:half]) + _scored(scorer, texts[half:])
+
+
 def infer(scorer: Scorer, text: Column) -> Column:
     """STRUCT<confidence, label> of a text by a scorer; null where it fails or the text is null or empty."""
     kind = T.StructType([T.StructField("confidence", T.DoubleType()), T.StructField("label", T.StringType())])
@@ -122,11 +143,8 @@ def infer(scorer: Scorer, text: Column) -> Column:
         for part in parts:
             out: list = [(None, None)] * len(part)
             at = [i for i, t in enumerate(part) if t]
-            try:
-                for i, pair in zip(at, scorer([part.iloc[i] for i in at])):
-                    out[i] = pair
-            except Exception:  # noqa: BLE001  (a broken model must not end a scan)
-                out = [(None, None)] * len(part)
+            for i, pair in zip(at, _scored(scorer, [part.iloc[i] for i in at])):
+                out[i] = pair
             yield pd.DataFrame(out, columns=["confidence", "label"])
 
     return run(text)
@@ -153,7 +171,7 @@ def classifier_engine(models: dict[str, Scorer]):
 def _hits_of(own: list[tuple[Signature, float]], text: str):
     def build(r: Column) -> Column:
         sure = F.when(r["confidence"] == 0, F.lit(ASSUMED_CONFIDENCE)).otherwise(r["confidence"])
-        made = [F.struct(F.lit(s.id).alias("signature_id"), F.lit("classifier").alias("engine"), F.left(F.col(text), F.lit(SHOWN)).alias("matched_text"), (sure * p).alias("score"), sure.alias("confidence"), F.lit(p).alias("severity")).cast(MATCH) for s, p in own]
+        made = [_made(s.id, "classifier", F.left(F.col(text), F.lit(SHOWN)), sure * p, sure, p, text) for s, p in own]
         hit = r["confidence"].isNotNull() & ~r["label"].isin(*BENIGN) & (r["confidence"] >= LEAST_CONFIDENCE)
         return F.when(hit, F.array(*made)).otherwise(F.array().cast(NONE))
 
@@ -168,7 +186,7 @@ def semantic_engine(index, vector: str, thresholds: dict[str, float] | None = No
         limits = {s.id: next((p.similarity_threshold for p in s.patterns if p.similarity_threshold is not None), default) for s, _ in signatures} | (thresholds or {})
         def best(n: Column, s: Signature, points: float) -> Column:
             sim = F.array_max(F.transform(F.filter(n, lambda x: x["label"] == s.id), lambda x: x["similarity"]))
-            made = F.struct(F.lit(s.id).alias("signature_id"), F.lit("semantic").alias("engine"), F.format_string("semantic similarity=%.3f", sim).alias("matched_text"), (sim * points).alias("score"), sim.alias("confidence"), F.lit(points).alias("severity")).cast(MATCH)
+            made = _made(s.id, "semantic", F.format_string("semantic similarity=%.3f", sim), sim * points, sim, points, text)
             return F.when((sim > 0) & (sim >= limits[s.id]), F.array(made)).otherwise(F.array().cast(NONE))
 
         if not signatures:
@@ -207,12 +225,17 @@ def judge(ask: Callable[[list[str]], list[str]], low: float = BAND[0], high: flo
         @F.pandas_udf(T.StringType())
         def answers(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
             for part in parts:
-                yield pd.Series(ask([(t or "")[:JUDGED] for t in part]), dtype=object)
-
-        band = in_band(F.col(matches), low, high)
-        asked = df.where(band).withColumn("__sure", verdict(answers(F.col(text))))
-        made = F.struct(F.lit(JUDGE_ID).alias("signature_id"), F.lit("llm-judge").alias("engine"), F.left(F.col(text), F.lit(SHOWN)).alias("matched_text"), (F.col("__sure") * JUDGE_POINTS).alias("score"), F.lit(0.0).alias("confidence"), F.lit(0.0).alias("severity")).cast(MATCH)
-        asked = asked.withColumn(matches, F.when(F.col("__sure") >= VERDICTS["LIKELY_UNSAFE"], F.concat(F.col(matches), F.array(made))).otherwise(F.col(matches))).drop("__sure")
-        return asked.unionByName(df.where(~F.coalesce(band, F.lit(False))))
+                at = [i for i, t in enumerate(part) if t is not None]
+                out: list = [None] * len(part)
+                for i, answer in zip(at, ask([part.iloc[i][:JUDGED] for i in at]) if at else []):
+                    out[i] = answer
+                yield pd.Series(out, dtype=object)
+
+        band = F.coalesce(in_band(F.col(matches), low, high), F.lit(False))
+        asked = df.withColumn("__sure", verdict(answers(F.when(band, F.coalesce(text, F.lit(""))))))
+        shown = F.left(F.col(text), F.lit(SHOWN))
+        made = _made(JUDGE_ID, "llm-judge", shown, F.col("__sure") * JUDGE_POINTS, F.lit(0.0), 0.0, text)
+        unsafe = band & (F.col("__sure") >= VERDICTS["LIKELY_UNSAFE"])
+        return asked.withColumn(matches, F.when(unsafe, F.concat(F.col(matches), F.array(made))).otherwise(F.col(matches))).drop("__sure")
 
     return apply

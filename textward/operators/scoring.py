@@ -27,9 +27,10 @@ class ScoringPolicy:
 
 
 def decision(score: Column, inbound: Column, policy: ScoringPolicy) -> Column:
-    """block, flag or allow."""
-    block = F.when(inbound, policy.inbound_block).otherwise(policy.outbound_block)
-    flag = F.when(inbound, policy.inbound_flag).otherwise(policy.outbound_flag)
+    """block, flag or allow; where ``inbound`` is null the lower thresholds count."""
+    by_side = lambda a, b: F.when(inbound, a).when(~inbound, b).otherwise(min(a, b))
+    block = by_side(policy.inbound_block, policy.outbound_block)
+    flag = by_side(policy.inbound_flag, policy.outbound_flag)
     return F.when(score >= block, "block").when(score >= flag, "flag").otherwise("allow")
 
 

@@ -15,6 +15,7 @@ from textward.operators.policy import MONITOR_ONLY, STRICT, apply_overrides
 from textward.operators.scoring import ScoringPolicy, decision, early_exit, score_result, score_v1, score_v2_rows
 from textward.operators.semantic import PhraseIndex, best_per_signature, hits
 from textward.plans import reports
+from textward.plans import scan_sql as q
 from textward.plans.scan import Scanner, guarded, response
 from textward.sources.audit import event_counts, last_events
 from textward.sources.catalog import Pattern, Signature, merge_layers
@@ -24,15 +25,24 @@ CONFIDENCES = {"high": 0.90, "medium": 0.70, "low": 0.45}
 _CASE = " ".join(f"WHEN '{k}' THEN {v}" for k, v in CONFIDENCES.items())
 
 
-def requests(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
-    """Each request once: the earliest delivery (deliveries repeat text and time).
+def once(rows: DataFrame, *names: str) -> DataFrame:
+    """request_id and the named columns of the earliest delivery of each request (deliveries repeat text and time)."""
+    kept = rows.groupBy("request_id").agg(F.min_by(F.struct(*names), F.struct(F.col("received_at").isNull(), "received_at")).alias("x"))
+    return kept.select("request_id", "x.*")
+
 
-    Only the named columns go through the shuffle; all of them if none is named.
+def deliveries(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    """Every delivery of a request, on all cores: request_id, received_at and the named columns.
+
+    Work on texts is done here, so that only its results go through the shuffle of :func:`once`.
     """
+    return spread(table(spark, folder, "scan_requests").select("request_id", "received_at", *columns)).where("request_id IS NOT NULL")
+
+
+def requests(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    """Each request once. Only the named columns go through the shuffle; all of them if none is named."""
     rows = table(spark, folder, "scan_requests").where("request_id IS NOT NULL")
-    names = list(columns) or ["received_at", "session_id", "direction", "source", "text", "ts"]
-    once = rows.groupBy("request_id").agg(F.min_by(F.struct(*names), F.struct(F.col("received_at").isNull(), "received_at")).alias("x"))
-    return once.select("request_id", "x.*")
+    return once(rows, *(columns or ("received_at", "session_id", "direction", "source", "text", "ts")))
 
 
 def matches(spark: SparkSession, folder: str) -> DataFrame:
@@ -57,33 +67,75 @@ def _arrays(spark: SparkSession, folder: str) -> DataFrame:
     return both.withColumn("matches", F.coalesce(F.col("matches"), F.array().cast(kind)))
 
 
+def _shown(found: DataFrame) -> DataFrame:
+    """Score rounded, and the ids of the hits in order."""
+    ids = F.array_join(F.transform("matches", lambda m: m["signature_id"]), ",")
+    return found.withColumn("score", F.round("score", 6)).withColumn("signatures", ids)
+
+
 def scan_requests_decisions(spark: SparkSession, folder: str) -> DataFrame:
     """Every request scanned by the built-in catalog: decision, score and ids of the hits in order."""
-    rows = spread(requests(spark, folder, "direction", "text").select("request_id", "direction", "text"))
-    out = Scanner().scan_both(rows)
-    return out.select("request_id", "direction", "decision", F.round("score", 6).alias("score"), F.array_join(F.transform("matches", lambda m: m["signature_id"]), ",").alias("signatures"))
+    out = Scanner().scan_both(deliveries(spark, folder, "direction", "text"))
+    return once(_shown(out), "direction", "decision", "score", "signatures")
 
 
 def scan_documents(spark: SparkSession, folder: str) -> DataFrame:
     """Documents scanned as outputs: leaks of personal data and secrets."""
     rows = spread(table(spark, folder, "documents").select("doc_id", "text"))
-    out = Scanner().scan(rows, "output")
-    return out.select("doc_id", "decision", F.round("score", 6).alias("score"), F.array_join(F.transform("matches", lambda m: m["signature_id"]), ",").alias("signatures"))
+    return _shown(Scanner().scan(rows, "output")).select("doc_id", "decision", "score", "signatures")
 
 
 def scan_monitor_mode(spark: SparkSession, folder: str) -> DataFrame:
-    """A monitor policy: nothing is enforced, so every score is 0 and every decision allow."""
-    rows = spread(requests(spark, folder, "direction", "text").select("request_id", "direction", "text"))
-    out = Scanner(policy=MONITOR_ONLY).scan_both(rows)
-    return out.select("request_id", "decision", "score", F.size("matches").alias("match_count"))
+    """A monitor policy: nothing is enforced, so every score is 0 and every decision allow; what would have hit is logged."""
+    out = Scanner(policy=MONITOR_ONLY, monitor_log=True).scan_both(deliveries(spark, folder, "direction", "text"))
+    ids = F.array_join(F.transform("logged", lambda m: m["signature_id"]), ",")
+    return once(out.withColumn("match_count", F.size("matches")).withColumn("logged", ids), "decision", "score", "match_count", "logged")
 
 
 def scan_response_fields(spark: SparkSession, folder: str) -> DataFrame:
     """The response rows of inputs and outputs: one per match, with the five fields a caller sees."""
-    rows = spread(requests(spark, folder, "direction", "text").select("request_id", "direction", "text"))
-    out = response(Scanner().scan_both(rows), "request_id")
+    out = once(Scanner().scan_both(deliveries(spark, folder, "direction", "text")), "decision", "score", "matches")
+    return response(out, "request_id").select("request_id", "decision", F.posexplode("matches").alias("pos", "m")).select("request_id", "decision", "pos", "m.*")
+
+
+def scan_hits(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per request and signature that hits, with the place of the match in the scanned text, in bytes."""
+    out = once(Scanner().scan_both(deliveries(spark, folder, "direction", "text")), "matches")
+    return out.select("request_id", F.explode("matches").alias("m")).select("request_id", *(f"m.{c}" for c in HIT_FIELDS))
+
+
+HIT_FIELDS = ("signature_id", "matched_text", "match_offset", "match_length", "score")
+
+
+def signature_activity(spark: SparkSession, folder: str) -> DataFrame:
+    """Every heuristic signature with its hits in requests, matched texts, phrases, documents and the catalog's examples, as both directions.
+
+    Signatures without a hit have a row too.
+    """
+    scanner = Scanner()
+    signatures = [s for s, _ in scanner.signatures(None, "heuristic")]
+    examples = spark.createDataFrame([(s.example,) for s in signatures], "text string")
+    phrases = table(spark, folder, "signature_patterns").select(F.explode("reference_phrases").alias("text"))
+    parts = (
+        ("request", table(spark, folder, "scan_requests").select("text")),
+        ("match", table(spark, folder, "scan_matches").select(F.col("matched_text").alias("text"))),
+        ("phrase", phrases),
+        ("document", table(spark, folder, "documents").select("text")),
+        ("example", examples),
+    )
+    texts = parts[0][1].limit(0).withColumn("kind", F.lit(""))
+    for kind, rows in parts:
+        texts = texts.unionByName(spread(rows).withColumn("kind", F.lit(kind)))
+    out = scanner.scan_both(texts.withColumn("direction", F.lit(None).cast("string")))
     # the outer form, since Spark puts a filter with all patterns once more below the other
-    return out.select("request_id", "decision", F.posexplode_outer("matches").alias("pos", "m")).where("pos IS NOT NULL").select("request_id", "decision", "pos", "m.*")
+    out = out.select("kind", F.explode_outer("matches").alias("m")).where("m IS NOT NULL")
+    counts = out.groupBy(F.col("m.signature_id").alias("signature_id")).agg(
+        *[F.count_if(F.col("kind") == k).alias(f"{k}s") for k, _ in parts],
+        F.sum("m.match_offset").alias("offsets"),
+        F.sum("m.match_length").alias("lengths"),
+    )
+    names = spark.createDataFrame([(s.id,) for s in signatures], "signature_id string")
+    return names.join(counts, "signature_id", "left").na.fill(0)
 
 
 def strip_invisible(spark: SparkSession, folder: str) -> DataFrame:
@@ -103,31 +155,41 @@ def rot13(spark: SparkSession, folder: str) -> DataFrame:
 
 def normalised(spark: SparkSession, folder: str) -> DataFrame:
     """Every request through the whole normaliser."""
-    out = n.normalise(spread(requests(spark, folder, "text")))
-    return out.select("request_id", "norm.processed_text", F.array_join("norm.encodings_found", ",").alias("encodings"), "norm.invisible_chars_removed", "norm.homoglyphs_mapped", "norm.was_truncated")
+    out = n.normalise(deliveries(spark, folder, "text")).select("request_id", "received_at", "norm.*")
+    out = out.withColumn("encodings", F.array_join("encodings_found", ","))
+    return once(out, "processed_text", "encodings", "invisible_chars_removed", "homoglyphs_mapped", "was_truncated")
+
+
+def unicode_analysis(spark: SparkSession, folder: str) -> DataFrame:
+    """Invisible characters, disguises, overrides of direction and the plain form of every request."""
+    rows = deliveries(spark, folder, "text").where("text IS NOT NULL")
+    out = rows.select("request_id", "received_at", n.unicode_analysis(F.col("text")).alias("u")).select("request_id", "received_at", "u.*")
+    return once(out, "invisible_chars", "homoglyphs_detected", "bidi_overrides", "zero_width_chars", "normalized_text")
 
 
 def _encoded(spark: SparkSession, folder: str, how) -> DataFrame:
-    rows = requests(spark, folder, "text").where(has_text(F.col("text")) & (F.length("text") >= 8))
-    d = n.decode(F.col("e"))
-    out = rows.select("request_id", how(F.col("text")).alias("e")).withColumn("d", d)
-    return out.select("request_id", F.col("d.t").alias("decoded"), F.element_at(F.col("d.enc"), 1).alias("first_encoding"))
+    rows = deliveries(spark, folder, "text").where("text IS NOT NULL")
+    out = rows.select("request_id", "received_at", how(F.col("text")).alias("e")).withColumn("d", n.decode(F.col("e")))
+    return once(out.withColumn("decoded", F.col("d.t")).withColumn("encodings", F.array_join("d.enc", ",")), "decoded", "encodings")
 
 
 def decode_base64(spark: SparkSession, folder: str) -> DataFrame:
-    """Texts encoded and decoded again."""
-    return _encoded(spark, folder, lambda t: F.regexp_replace(F.base64(F.encode(t, "UTF-8")), r"\s", ""))
+    """Every text encoded twice and decoded again; texts too short to be told from words stay encoded."""
+    packed = lambda t: F.regexp_replace(F.base64(F.encode(t, "UTF-8")), r"\s", "")
+    return _encoded(spark, folder, lambda t: packed(packed(t)))
 
 
 def decode_hex(spark: SparkSession, folder: str) -> DataFrame:
+    """Every text as hexadecimal digits, decoded again; fewer than eight digits are not taken for an encoding."""
     return _encoded(spark, folder, lambda t: F.hex(F.encode(t, "UTF-8")))
 
 
 def entropy(spark: SparkSession, folder: str) -> DataFrame:
-    rows = spread(requests(spark, folder, "text").where(has_text(F.col("text"))))
-    value = n.entropy(F.col("text"))
-    out = rows.select("request_id", F.octet_length("text").alias("b"), value.alias("e"))
-    return out.select("request_id", F.round("e", 6).alias("entropy"), ((F.col("b") >= 20) & ((F.col("e") < 3.0) | (F.col("e") > 4.5))).alias("abnormal"))
+    """Entropy of every request's bytes, and whether it is unusual; 0 for null and empty texts."""
+    rows = deliveries(spark, folder, "text")
+    out = rows.select("request_id", "received_at", F.octet_length(F.coalesce("text", F.lit(""))).alias("b"), n.entropy(F.col("text")).alias("e"))
+    out = out.withColumn("entropy", F.round("e", 6)).withColumn("abnormal", (F.col("b") >= 20) & ((F.col("e") < 3.0) | (F.col("e") > 4.5)))
+    return once(out, "entropy", "abnormal")
 
 
 def substring_signatures(spark: SparkSession, folder: str) -> DataFrame:
@@ -136,13 +198,14 @@ def substring_signatures(spark: SparkSession, folder: str) -> DataFrame:
     The catalog (a fixed table) is compiled into the plan, so the texts are read once and not joined.
     """
     rules = table(spark, folder, "signature_patterns").where("pattern_type = 'substring' AND pattern_value <> ''").select("signature_id", "pattern_value").orderBy("signature_id", "pattern_id").collect()
-    rows = spread(requests(spark, folder, "text").where(has_text(F.col("text"))).select("request_id", "text"))
-    low = rows.withColumn("low", F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+    rows = deliveries(spark, folder, "text").where("text IS NOT NULL")
+    low = rows.withColumn("low", F.translate("text", ASCII_UPPER, ASCII_UPPER.lower()))
     tests = [f"IF(contains(low, {n.sql_string(r.pattern_value.translate(_LOWER))}), {n.sql_string(r.signature_id)}, NULL)" for r in rules]
     found = F.expr(f"array_distinct(array_compact(array({', '.join(tests)})))") if tests else F.array().cast("array<string>")
-    return low.select("request_id", F.explode(found).alias("signature_id"))
+    return once(low.withColumn("found", found), "found").select("request_id", F.explode("found").alias("signature_id"))
 
 
+ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _LOWER = {c: c + 32 for c in range(65, 91)}
 
 
@@ -307,27 +370,57 @@ PHRASES_SQL = """phrases AS (SELECT vec_id AS phrase_id, CAST(label AS VARCHAR)
  ranked AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(sim, 9) DESC, phrase_id) AS rank FROM near QUALIFY rank <= 10)"""
 
 
-def _q(text: str) -> str:
-    return "'" + text.replace("'", "''") + "'"
-
-
 def _text_sql(body: str) -> str:
     return f"WITH {REQUESTS_SQL} SELECT request_id, {body} FROM (SELECT request_id, x.text AS text FROM requests) WHERE text IS NOT NULL"
 
 
-_ENGLISH = "regexp_matches(lower({}), '" + "|".join(n.ENGLISH_MARKS) + "')"
-_ROT = f"translate(text, {_q(n.ROT_FROM)}, {_q(n.ROT_TO)})"
-_DECODED = f"WITH {REQUESTS_SQL} SELECT request_id, CASE WHEN {_ENGLISH.format(_ROT)} AND NOT {_ENGLISH.format('text')} THEN {_ROT} ELSE text END AS decoded, '%s' AS first_encoding FROM (SELECT request_id, x.text AS text FROM requests) WHERE text IS NOT NULL AND regexp_matches(text, '[^\\s\\p{{Z}}]') AND length(text) >= 8"
-
-
-def _count_sql(chars: str) -> str:
-    return f"length(text) - length(translate(text, {_q(chars)}, ''))"
+def _scan_sql(scanner: Scanner, source: str, direction: str | None, final: str, action: str = "enforce") -> str:
+    """The scanner as SQL over a CTE ``src`` (key, text, side)."""
+    chosen = scanner.signatures(direction, "heuristic", action)
+    scored = """matches AS (SELECT key AS request_id, ord AS match_no, ord AS match_id, signature_id, score, confidence, severity FROM hits), """ + SCORED_SQL
+    ids = "ids AS (SELECT key, string_agg(signature_id, ',' ORDER BY ord) AS signatures FROM hits GROUP BY key)"
+    return f"WITH {source}, {q.normal_ctes('src')}, {q.hit_ctes(chosen, 'src')}, {scored}, {ids} {final}"
+
+
+def _scan_oracles() -> dict[str, str]:
+    src = "src AS MATERIALIZED (SELECT request_id AS key, x.text AS text, CASE WHEN x.direction IN ('input', 'output') THEN x.direction END AS side, x.direction AS direction FROM requests)"
+    requests_, docs = f"{REQUESTS_SQL}, {src}", "src AS MATERIALIZED (SELECT doc_id AS key, text, 'output' AS side FROM documents)"
+    total = "coalesce(p.total, 0.0)"
+    limit = lambda a, b: f"CASE side WHEN 'input' THEN {a} WHEN 'output' THEN {b} ELSE {min(a, b)} END"
+    verdict = f"CASE WHEN {total} >= {limit(10.0, 7.0)} THEN 'block' WHEN {total} >= {limit(4.0, 3.0)} THEN 'flag' ELSE 'allow' END AS decision"
+    shown = f"{verdict}, round({total}, 6) AS score, coalesce(i.signatures, '') AS signatures FROM src s LEFT JOIN scored p ON p.request_id = s.key LEFT JOIN ids i ON i.key = s.key"
+    scanner, watching = Scanner(), Scanner(policy=MONITOR_ONLY)
+    chosen = [s for s, _ in scanner.signatures(None, "heuristic")]
+    kinds = {"request": "SELECT text FROM scan_requests", "match": "SELECT matched_text AS text FROM scan_matches", "phrase": "SELECT unnest(reference_phrases) AS text FROM signature_patterns", "document": "SELECT text FROM documents", "example": "SELECT * FROM (VALUES " + ", ".join(f"({q.quote(s.example)})" for s in chosen) + ") v(text)"}
+    union = " UNION ALL ".join(f"SELECT '{k}' AS kind, text FROM ({body})" for k, body in kinds.items())
+    every = f"src AS MATERIALIZED (SELECT row_number() OVER () AS key, kind, text, NULL::VARCHAR AS side FROM ({union}))"
+    counts = ", ".join(f"count(h.key) FILTER (WHERE s.kind = '{k}') AS {k}s" for k in kinds)
+    ids = ", ".join(f"({q.quote(s.id)})" for s in chosen)
+    return {
+        "scan_requests_decisions": _scan_sql(scanner, requests_, None, f"SELECT s.key AS request_id, s.direction, {shown}"),
+        "scan_documents": _scan_sql(scanner, docs, "output", f"SELECT s.key AS doc_id, {shown}"),
+        "scan_monitor_mode": _scan_sql(
+            watching, requests_, None, "SELECT s.key AS request_id, 'allow' AS decision, 0.0::DOUBLE AS score, 0 AS match_count, coalesce(i.signatures, '') AS logged FROM src s LEFT JOIN ids i ON i.key = s.key", "monitor"
+        ),
+        "scan_response_fields": _scan_sql(
+            scanner, requests_, None, f"SELECT s.key AS request_id, {verdict}, CAST(row_number() OVER (PARTITION BY s.key ORDER BY h.ord) - 1 AS INTEGER) AS pos, h.signature_id, h.matched_text, h.score, h.confidence, h.severity FROM src s JOIN hits h ON h.key = s.key JOIN scored p ON p.request_id = s.key"
+        ),
+        "scan_hits": _scan_sql(scanner, requests_, None, f"SELECT key AS request_id, {', '.join(HIT_FIELDS)} FROM hits"),
+        "signature_activity": _scan_sql(
+            scanner, every, None, f"SELECT v.signature_id, {counts}, CAST(coalesce(sum(h.match_offset), 0) AS BIGINT) AS offsets, CAST(coalesce(sum(h.match_length), 0) AS BIGINT) AS lengths FROM (VALUES {ids}) v(signature_id) LEFT JOIN hits h ON h.signature_id = v.signature_id LEFT JOIN src s ON s.key = h.key GROUP BY v.signature_id"
+        ),
+        "normalised": f"WITH {requests_}, {q.normal_ctes('src')} SELECT key AS request_id, t AS processed_text, array_to_string(enc, ',') AS encodings, invisible AS invisible_chars_removed, mapped AS homoglyphs_mapped, truncated AS was_truncated FROM norm",
+        "unicode_analysis": f"WITH {requests_}, given AS (SELECT key, text FROM src WHERE text IS NOT NULL), {q.nfkc_ctes('given', 'text', 'f')} SELECT key AS request_id, {q.count_of('text', n.INVISIBLE)} AS invisible_chars, {q.stripped('form')} <> text AND regexp_matches(text, '[^\\x00-\\x7F]') AS homoglyphs_detected, {q.count_of('text', n.BIDI)} AS bidi_overrides, {q.count_of('text', n.ZERO_WIDTH)} AS zero_width_chars, {q.stripped('form')} AS normalized_text FROM given JOIN f USING (key)",
+        "decode_base64": f"WITH {requests_}, coded AS (SELECT key, to_base64(encode(to_base64(encode(text)))) AS t FROM src WHERE text IS NOT NULL), {q.decode_ctes('coded', 'd')} SELECT key AS request_id, t AS decoded, array_to_string(enc, ',') AS encodings FROM d",
+        "decode_hex": f"WITH {requests_}, coded AS (SELECT key, hex(encode(text)) AS t FROM src WHERE text IS NOT NULL), {q.decode_ctes('coded', 'd')} SELECT key AS request_id, t AS decoded, array_to_string(enc, ',') AS encodings FROM d",
+    }
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query name -> callable of (session, folder)."""
     named = (
-        scan_requests_decisions, scan_documents, scan_monitor_mode, scan_response_fields, strip_invisible, map_lookalikes, rot13, normalised, decode_base64, decode_hex, entropy,
+        scan_requests_decisions, scan_documents, scan_monitor_mode, scan_response_fields, scan_hits, signature_activity, strip_invisible, map_lookalikes, rot13,
+        normalised, unicode_analysis, decode_base64, decode_hex, entropy,
         substring_signatures, condition_signatures, additive_scores, fused_scores, fused_scores_strict, fused_scores_windows, policy_overrides, signature_routing, signature_listing,
         signature_layers, semantic_neighbours, semantic_best, semantic_hits, session_states, session_running, session_history, guarded_calls, hits_rollup, top_signatures,
         decision_rates, audit_counts, audit_last,
@@ -343,16 +436,11 @@ def oracle_sql() -> dict[str, str]:
     strict = verdict.format(s="total", ib=7.0, ob=5.0, i=2.5, o=2.0)
     old = verdict.format(s="round(total, 6)", ib=15.0, ob=10.0, i=5.0, o=5.0)
     folded = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-    wide = "".join(chr(o) for o in [*range(0xFF21, 0xFF3B), *range(0xFF41, 0xFF5B)])
-    mapped = f"translate(text, {_q(n.LOOKALIKE_FROM + wide)}, {_q(n.LOOKALIKE_TO + ''.join(chr(ord(c) - 0xFEE0) for c in wide))})"
-    return {
-        "scan_monitor_mode": f"WITH {REQUESTS_SQL} SELECT request_id, 'allow' AS decision, 0.0::DOUBLE AS score, 0 AS match_count FROM requests WHERE x.direction IN ('input', 'output')",
-        "strip_invisible": _text_sql(f"translate(text, {_q(n.INVISIBLE)}, '') AS stripped, {_count_sql(n.INVISIBLE)} AS removed, {_count_sql(n.BIDI)} AS bidi, {_count_sql(n.ZERO_WIDTH)} AS zero_width"),
-        "map_lookalikes": _text_sql(f"{mapped} AS mapped, {mapped} <> text AS changed"),
-        "rot13": _text_sql(f"{_ROT} AS turned, {_ENGLISH.format('text')} AS english"),
-        "decode_base64": _DECODED % "base64",
-        "decode_hex": _DECODED % "hex",
-        "entropy": _text_sql("round(list_aggregate(regexp_extract_all(hex(encode(text)), '..'), 'entropy'), 6) AS entropy, octet_length(encode(text)) >= 20 AND (list_aggregate(regexp_extract_all(hex(encode(text)), '..'), 'entropy') < 3.0 OR list_aggregate(regexp_extract_all(hex(encode(text)), '..'), 'entropy') > 4.5) AS abnormal") + r" AND regexp_matches(text, '[^\s\p{Z}]')",
+    return _scan_oracles() | {
+        "strip_invisible": _text_sql(f"translate(text, {q.quote(n.INVISIBLE)}, '') AS stripped, {q.count_of("text", n.INVISIBLE)} AS removed, {q.count_of("text", n.BIDI)} AS bidi, {q.count_of("text", n.ZERO_WIDTH)} AS zero_width"),
+        "map_lookalikes": _text_sql(f"{q.lookalikes('text')} AS mapped, {q.lookalikes('text')} <> text AS changed"),
+        "rot13": _text_sql(f"{q.rot13('text')} AS turned, {q.ENGLISH.format('text')} AS english"),
+        "entropy": f"WITH {REQUESTS_SQL}, e AS (SELECT request_id, octet_length(encode(coalesce(x.text, ''))) AS b, coalesce(list_aggregate(regexp_extract_all(hex(encode(x.text)), '..'), 'entropy'), 0.0) AS e FROM requests) SELECT request_id, round(e, 6) AS entropy, b >= 20 AND (e < 3.0 OR e > 4.5) AS abnormal FROM e",
         "substring_signatures": f"WITH {REQUESTS_SQL} SELECT DISTINCT r.request_id, p.signature_id FROM requests r, signature_patterns p WHERE p.pattern_type = 'substring' AND p.pattern_value <> '' AND contains({folded.format('r.x.text')}, {folded.format('p.pattern_value')})",
         "condition_signatures": _text_sql("(contains(lower(text), 'ticket') OR contains(lower(text), 'project') OR contains(lower(text), 'table')) AS any_hit, (contains(lower(text), 'ticket') AND contains(lower(text), 'project') AND contains(lower(text), 'table')) AS all_hit") + r" AND regexp_matches(text, '[^\s\p{Z}]')",
         "additive_scores": f"WITH {REQUESTS_SQL}, {MATCHES_SQL}, sums AS (SELECT r.request_id, r.x.direction AS d, coalesce((SELECT sum(m.score) FROM matches m WHERE m.request_id = r.request_id), 0.0) AS total FROM requests r) SELECT request_id, round(total, 6) AS total, {old} AS decision, total >= 13.0 AS early_exit, total BETWEEN 4.0 AND 9.0 AS judged FROM sums",

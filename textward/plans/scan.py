@@ -20,7 +20,7 @@ Engine = Callable[[DataFrame, str, list[tuple[Signature, float]]], Column]
 
 @dataclass
 class Scanner:
-    """A catalog and a policy, compiled to one plan per direction.
+    """A catalog and a policy, compiled to one plan.
 
     ``engines`` maps classifier and semantic to engines; signatures of engines that are missing,
     of composite and of llm-judge add nothing. ``judge`` may add matches to texts whose summed
@@ -33,10 +33,10 @@ class Scanner:
     judge: Callable[[DataFrame, str, str], DataFrame] | None = None
     monitor_log: bool = False
 
-    def signatures(self, direction: str, engine: str, action: str = "enforce") -> list[tuple[Signature, float]]:
-        """Active signatures of an engine whose resolved action is ``action``, with resolved points."""
+    def signatures(self, direction: str | None, engine: str, action: str = "enforce") -> list[tuple[Signature, float]]:
+        """Active signatures of an engine (for any direction, if it is None) whose resolved action is ``action``, with resolved points."""
         out = []
-        for s in self.catalog.active(direction):
+        for s in self.catalog.active(direction) if direction else [s for s in self.catalog.signatures if s.active]:
             if s.engine == engine and self.policy.action(s.id, s.default_action) == action:
                 out.append((s, float(int(self.policy.points_of(s.id, s.anomaly_points)))))
         return out
@@ -47,30 +47,48 @@ class Scanner:
         Narrow: no shuffle. Null and empty texts are allowed with score 0. Columns of the table
         with these names are replaced.
         """
+        return self._scan(df, text, direction)
+
+    def scan_both(self, df: DataFrame, direction: str = "direction", text: str = "text") -> DataFrame:
+        """Scan a table with a direction column, in one pass.
+
+        A row whose direction is neither input nor output (or is null) meets the signatures of both
+        and the lower thresholds, so that no text is allowed unseen.
+        """
+        named = F.when(F.col(direction).isin("input", "output"), F.col(direction))
+        return self._scan(df.withColumn("__side", named), text, None).drop("__side")
+
+    def _scan(self, df: DataFrame, text: str, direction: str | None) -> DataFrame:
+        side = None if direction else "__side"
+        fixed, logged = self.signatures(direction, "heuristic"), self.signatures(direction, "heuristic", "monitor") if self.monitor_log else []
         out = normalise(df.drop("decision", "score", "match_count", "matches"), text, "__norm")
         out = out.withColumn("__t", F.col("__norm.processed_text")).withColumn("__low", F.lower(F.col("__t")))
-        found = heuristic.matches(self.signatures(direction, "heuristic"), "__t", "__low")
-        parts = [found]
+        slow = heuristic.slow_patterns([s for s, _ in fixed + logged])
+        if slow:
+            out = out.withColumn("__slow", heuristic.slow_hits(slow)(F.col("__t")))
+        parts = [heuristic.matches(fixed, "__t", "__low", side, slow)]
         for name in ("classifier", "semantic"):
             chosen = self.signatures(direction, name)
             if name in self.engines and chosen:
-                parts.append(self.engines[name](out, text, chosen))
+                found = self.engines[name](out, text, chosen)
+                if side:
+                    # one run of the engine for both directions; matches of the other one are taken off
+                    ids = {d: [s.id for s, _ in chosen if s.direction not in (d, "bidirectional")] for d in ("input", "output")}
+                    for d, others in ids.items():
+                        if others:
+                            kept = F.filter(found, lambda m, o=others: ~m["signature_id"].isin(*o))
+                            found = F.when(F.col(side) == d, kept).otherwise(found)
+                parts.append(found)
         out = out.withColumn("matches", F.concat(*parts) if len(parts) > 1 else parts[0])
         if self.judge is not None:
             out = self.judge(out, text, "matches")
         if self.monitor_log:
-            dropped = heuristic.matches(self.signatures(direction, "heuristic", "monitor"), "__t", "__low")
-            out = out.withColumn("logged", dropped)
+            out = out.withColumn("logged", heuristic.matches(logged, "__t", "__low", side, slow))
         out = out.withColumn("score", score_v2(F.col("matches")))
-        inbound = F.lit(direction == "input")
+        inbound = F.lit(direction == "input") if direction else F.col(side) == "input"
         verdict = F.lit("allow") if self.policy.monitor else decision(F.col("score"), inbound, self.policy.scoring)
         out = out.withColumn("decision", verdict).withColumn("match_count", F.size("matches"))
-        return out.drop("__norm", "__t", "__low")
-
-    def scan_both(self, df: DataFrame, direction: str = "direction", text: str = "text") -> DataFrame:
-        """Scan a table with a direction column: two branches, one plan each; other directions are left out."""
-        parts = [self.scan(df.where(F.col(direction) == d), d, text) for d in ("input", "output")]
-        return parts[0].unionByName(parts[1])
+        return out.drop("__norm", "__t", "__low", "__slow")
 
     def sum_reached(self, matches: Column) -> Column:
         """Whether the plain sum of scores reaches the policy's early exit."""
@@ -79,7 +97,8 @@ class Scanner:
 
 def response(scanned: DataFrame, *keys: str) -> DataFrame:
     """keys, decision, score and matches with the five fields a caller sees."""
-    shown = F.transform("matches", lambda m: F.struct(m["signature_id"].alias("signature_id"), m["matched_text"].alias("matched_text"), m["score"].alias("score"), m["confidence"].alias("confidence"), m["severity"].alias("severity")))
+    seen = ("signature_id", "matched_text", "score", "confidence", "severity")
+    shown = F.transform("matches", lambda m: F.struct(*[m[c].alias(c) for c in seen]))
     return scanned.select(*keys, "decision", "score", shown.alias("matches"))
 
 

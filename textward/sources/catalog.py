@@ -65,6 +65,7 @@ class Signature:
     tags: tuple[str, ...] | None = None
     model: str | None = None
     patterns: tuple[Pattern, ...] = field(default_factory=tuple)
+    example: str | None = None
 
     @property
     def active(self) -> bool:
@@ -148,6 +149,7 @@ def parse_signature(data: dict) -> Signature:
         tags=_words(meta.get("tags")),
         model=detection.get("model"),
         patterns=tuple(parse_pattern(p) for p in detection.get("patterns") or ()),
+        example=meta.get("example"),
     )
 
 
@@ -170,6 +172,7 @@ def expand_rules(data: dict) -> list[dict]:
                     "confidence": r.get("confidence"),
                     "performance_cost": r.get("cost"),
                     "tags": r.get("tags"),
+                    "example": r.get("example"),
                 },
                 "detection": {"engine": r.get("engine"), "direction": r.get("direction"), "condition": r.get("condition", "any"), "model": r.get("model"), "patterns": patterns},
                 "scoring": {"anomaly_points": r.get("points")},
