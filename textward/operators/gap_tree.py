@@ -6,10 +6,15 @@ gap inside; equal gaps are one node with several children. Cutting at a threshol
 with height < t <= height of the parent: the sessions. The tree is built once and serves any
 threshold by a filter.
 
+Gaps count in whole seconds (a gap reaches a threshold of whole seconds if its whole seconds do).
+So a rising or falling chain of n different gaps lasts n * n / 2 seconds or more, which bounds the
+chains of a timeline by its duration, whatever the number of its events.
+
 Timelines of any length are built in chunks. A gap is open in its chunk if it is a maximum of all
-gaps before it or of all after it; between open gaps lie complete subtrees, which are written
-as nodes and go on as single items. Items of an entity meet in the next round; the last round, with
-few items, joins the rest. No task holds more than a chunk, or an entity's items.
+gaps before it or of all after it; between open gaps lie complete subtrees, which go on as single
+items. Between two equal open gaps an item is complete too: it is written, and its events become a
+bridge between its neighbours. Items of an entity meet in the next round, until those of each fit
+into one chunk; the last round joins them. No task holds more than a chunk, or an entity's chains.
 """
 
 from __future__ import annotations
@@ -25,19 +30,24 @@ from textward.session import materialise
 
 #: Microseconds.
 SECOND = 1_000_000
-NODE = "actor string, start long, end long, n long, first_id long, last_id long, height long, parent long, open boolean"
-FIELDS = ("start", "end", "n", "first_id", "last_id", "height")
+#: ``gap`` and ``bridge`` of an item are null and 0 unless events lie between it and the item before it.
+FIELDS = ("start", "end", "n", "first_id", "last_id", "height", "gap", "bridge")
+SHOWN = FIELDS[:6]
+NODE = "actor string, start long, end long, n long, first_id long, last_id long, height long, gap long, bridge long, parent long, open boolean"
 INFINITE = 2**62
+#: A last round takes at most so many items of an entity, unless a round no longer shrinks them.
+REST = 50_000
+_HEIGHT, _GAP, _BRIDGE = 5, 6, 7
 
 
 def build(items: list[tuple], left: bool, right: bool) -> tuple[list[tuple], list[tuple]]:
-    """(nodes, items still open) of consecutive items (start, end, n, first_id, last_id, height).
+    """(nodes, items still open) of consecutive items (FIELDS).
 
     ``left`` and ``right`` tell whether the timeline goes on beyond the items. Nodes carry the
     height of their parent last. Without more on either side all nodes are complete, and the
     root's parent is INFINITE.
     """
-    gaps = [b[0] - a[1] for a, b in zip(items, items[1:])]
+    gaps = [(b[0] - a[1]) // SECOND if b[_BRIDGE] == 0 else b[_GAP] for a, b in zip(items, items[1:])]
     n = len(gaps)
     opened = [False] * n
     if left:
@@ -52,15 +62,33 @@ def build(items: list[tuple], left: bool, right: bool) -> tuple[list[tuple], lis
                 opened[i], top = True, gaps[i]
     nodes: list[tuple] = []
     out: list[tuple] = []
+    between: list[int] = []
     at = 0
     for i in range(n + 1):
         if i == n or opened[i]:
             out.append(_subtree(items[at : i + 1], gaps[at:i], nodes))
+            if i < n:
+                between.append(gaps[i])
             at = i + 1
     if not left and not right:
         nodes.append((*out[0], INFINITE))
         return nodes, []
-    return nodes, out
+    return nodes, _folded(out, between, nodes)
+
+
+def _folded(items: list[tuple], gaps: list[int], nodes: list[tuple]) -> list[tuple]:
+    """Open items without those between two equal gaps, which are complete and become bridges."""
+    out, bridge = [items[0]], 0
+    for i in range(1, len(items)):
+        item = items[i]
+        if i < len(gaps) and gaps[i - 1] == gaps[i]:
+            nodes.append((*item, gaps[i]))
+            bridge += item[_BRIDGE] + item[2]
+            continue
+        bridge += item[_BRIDGE]
+        out.append((*item[:_GAP], gaps[i - 1] if bridge else -1, bridge))
+        bridge = 0
+    return out
 
 
 def _join(children: list[tuple], gap: int) -> tuple:
@@ -69,7 +97,8 @@ def _join(children: list[tuple], gap: int) -> tuple:
     low = min(c[3] for c in children if c[0] == first[0])
     # ids at equal times: the smallest of the earliest, the largest of the latest time
     high = max(c[4] for c in children if c[1] == last[1])
-    return (first[0], last[1], sum(c[2] for c in children), low, high, gap)
+    events = sum(c[2] for c in children) + sum(c[_BRIDGE] for c in children[1:])
+    return (first[0], last[1], events, low, high, gap, first[_GAP], first[_BRIDGE])
 
 
 def _subtree(items: list[tuple], gaps: list[int], nodes: list[tuple]) -> tuple:
@@ -116,39 +145,50 @@ def _chunks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["actor", *FIELDS, "parent", "open"])
 
 
-def _rest(key, frame: pd.DataFrame) -> pd.DataFrame:
+def _rest(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
     frame = frame.sort_values(["start", "end", "first_id"], kind="stable")
     nodes, _ = build(list(zip(*(frame[c].tolist() for c in FIELDS))), False, False)
     return pd.DataFrame([(key[0], *x, False) for x in nodes], columns=["actor", *FIELDS, "parent", "open"])
 
 
-def gap_tree(events: DataFrame, rounds: int = 2) -> DataFrame:
+def gap_tree(events: DataFrame, rest: int = REST) -> DataFrame:
     """actor, start, end, n, first_id, last_id, height, parent of all nodes, from actor, ts, id.
 
-    Times are microseconds; leaves are events (height -1), the root of an actor has an INFINITE
-    parent. Rows with a null actor or time are left out; equal times are parted by gaps of 0, and
-    repeated rows count as often as they occur. Further columns are ignored; an empty table gives an
-    empty result. ``rounds`` of chunking precede the last one; each shrinks a long timeline to
-    the open gaps of its chunks.
+    Times are microseconds, heights whole seconds; leaves are events (height -1), the root of an actor
+    has an INFINITE parent. Rows with a null actor or time are left out; equal times are parted by
+    gaps of 0, and repeated rows count as often as they occur. Further columns are ignored; an empty
+    table gives an empty result. Rounds of chunks go on until no actor has more than ``rest`` open
+    items, or until a round leaves more than half of them.
     """
-    rows = events.where("actor IS NOT NULL AND ts IS NOT NULL").select("actor", F.unix_micros(F.col("ts").cast("timestamp")).alias("start"), F.col("id").cast("long").alias("first_id"))
-    items = rows.select("actor", "start", F.col("start").alias("end"), F.lit(1).cast("long").alias("n"), "first_id", F.col("first_id").alias("last_id"), F.lit(-1).cast("long").alias("height"))
-    done = []
-    for _ in range(rounds):
+    rows = events.where("actor IS NOT NULL AND ts IS NOT NULL").select(
+        "actor", F.unix_micros(F.col("ts").cast("timestamp")).alias("start"), F.col("id").cast("long").alias("first_id")
+    )
+    items = rows.select(
+        "actor", "start", F.col("start").alias("end"), F.lit(1).cast("long").alias("n"), "first_id", F.col("first_id").alias("last_id"),
+        *[F.lit(v).cast("long").alias(c) for c, v in (("height", -1), ("gap", -1), ("bridge", 0))],
+    )
+    done, before = [], None
+    while True:
         spread = items.repartitionByRange("actor", "start", "first_id").sortWithinPartitions("actor", "start", "end", "first_id")
         parts = materialise(spread.select("actor", *FIELDS).mapInPandas(_chunks, NODE), "gaps")
         done.append(parts.where("NOT open"))
         items = parts.where("open").select("actor", *FIELDS)
+        most = items.groupBy("actor").count().agg(F.max("count")).first()[0] or 0
+        if most <= rest or before is not None and most > before / 2:
+            break
+        before = most
     done.append(items.groupBy("actor").applyInPandas(_rest, NODE))
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)
-    return out.drop("open")
+    return out.select("actor", *SHOWN, "parent")
 
 
-def cut(tree: DataFrame, seconds: float) -> DataFrame:
-    """Sessions of a tree: no inner gap of ``seconds`` or more; actor, first_id, last_id, start, end, duration, events."""
-    limit = int(seconds * SECOND)
+def cut(tree: DataFrame, seconds: int) -> DataFrame:
+    """Sessions of a tree: no inner gap of ``seconds`` (whole) or more; actor, first_id, last_id, start, end, duration, events."""
+    limit = int(seconds)
+    if limit != seconds:
+        raise ValueError("a threshold counts whole seconds")
     rows = tree.where((F.col("height") < limit) & (F.col("parent") >= limit))
     return rows.select(
         "actor",

@@ -9,16 +9,17 @@ from pyspark.sql import functions as F
 HOT = 1024
 
 
-def attach(facts: DataFrame, unique: DataFrame, keys: list[str], hot: int = HOT) -> DataFrame:
+def attach(facts: DataFrame, unique: DataFrame, keys: list[str], hot: int = HOT, counts: DataFrame | None = None) -> DataFrame:
     """Inner join on ``keys``; ``unique`` has one row per key, null keys match nothing.
 
     The ``hot`` most frequent keys (at most that many rows, so the broadcast is bounded) are
     joined where the rows lie; the rest is shuffled. No row is dropped or capped, and no key
     brings more than 1/(hot+1) of the rows into one task. The facts should be narrow: they are
-    read three times.
+    read three times, or twice where ``counts`` (keys, _c) tells how many rows each key has.
     """
-    counts = facts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_c")).where("_c > 1000")
-    top = counts.orderBy(F.desc("_c"), *keys).limit(hot).select(*keys)
+    if counts is None:
+        counts = facts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_c"))
+    top = counts.where("_c > 1000").orderBy(F.desc("_c"), *keys).limit(hot).select(*keys)
     small = F.broadcast(unique.join(F.broadcast(top), keys, "left_semi"))
     by_place = facts.join(small, keys)
     by_shuffle = facts.join(F.broadcast(top), keys, "left_anti").join(unique, keys)

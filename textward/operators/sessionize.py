@@ -10,6 +10,8 @@ from textward.sources.tables import table
 
 #: A gap of so many seconds ends a session.
 GAP = 1800
+#: Gap settings compared with one another.
+SETTINGS = (60, 300, 900, 1800, 3600, 14400, 86400)
 
 
 def actor_of(key_prefix, ip) -> F.Column:
@@ -51,9 +53,7 @@ def sessions(spark: SparkSession, folder: str) -> DataFrame:
 
 def gap_settings(spark: SparkSession, folder: str) -> DataFrame:
     """gap_s, sessions, longest_s for several gap settings, all cut from one tree."""
-    from textward.session import materialise
-
-    tree = materialise(gap_tree(audit_events(spark, folder)), "tree")
-    settings = F.array(*[F.lit(x).cast("long") for x in (60, 300, 900, 1800, 3600, 14400, 86400)])
-    rows = tree.select("height", "parent", (F.col("end") - F.col("start")).alias("d"), F.explode(settings).alias("gap_s")).where("height < gap_s * 1000000 AND parent >= gap_s * 1000000")
+    tree = gap_tree(audit_events(spark, folder))
+    settings = F.array(*[F.lit(x).cast("long") for x in SETTINGS])
+    rows = tree.select("height", "parent", (F.col("end") - F.col("start")).alias("d"), F.explode(settings).alias("gap_s")).where("height < gap_s AND parent >= gap_s")
     return rows.groupBy("gap_s").agg(F.count(F.lit(1)).alias("sessions"), (F.max("d") / 1000000.0).alias("longest_s"))

@@ -13,6 +13,8 @@ from textward.operators.engines import in_band
 from textward.operators.heuristic import signature_hit
 from textward.operators.policy import MONITOR_ONLY, STRICT, apply_overrides
 from textward.operators.scoring import ScoringPolicy, decision, early_exit, score_result, score_v1, score_v2_rows
+from textward.operators.timeline import places
+from textward.operators.substrings import occurrences
 from textward.operators.semantic import PhraseIndex, best_per_signature, hits
 from textward.plans import reports
 from textward.plans import scan_sql as q
@@ -205,6 +207,20 @@ def substring_signatures(spark: SparkSession, folder: str) -> DataFrame:
     return once(low.withColumn("found", found), "found").select("request_id", F.explode("found").alias("signature_id"))
 
 
+def substring_places(spark: SparkSession, folder: str) -> DataFrame:
+    """Places of the catalog's literal patterns in every request, without overlaps: index, text, byte offset and length."""
+    rules = _literals(spark, folder)
+    rows = deliveries(spark, folder, "text").where("text IS NOT NULL")
+    found = once(rows.withColumn("found", occurrences(F.col("text"), rules)), "found").select("request_id", F.explode("found").alias("m"))
+    return found.select("request_id", "m.*")
+
+
+def _literals(spark: SparkSession, folder: str) -> list[str]:
+    """The catalog's literals in order, each once; a fixed table of signatures, so few."""
+    rules = table(spark, folder, "signature_patterns").where("pattern_type = 'substring' AND pattern_value <> ''")
+    return [r.v for r in rules.select(F.lower("pattern_value").alias("v")).distinct().orderBy("v").collect()]
+
+
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _LOWER = {c: c + 32 for c in range(65, 91)}
 
@@ -264,6 +280,14 @@ def signature_listing(spark: SparkSession, folder: str) -> DataFrame:
     return s.select("signature_id", "signature_name", "category", "severity", "engine", "direction", "anomaly_points", "default_action", F.col("default_enabled").alias("enabled"))
 
 
+def signature_detail(spark: SparkSession, folder: str) -> DataFrame:
+    """The sixteen columns of a signature's detail; signatures without tags have an empty list."""
+    s = table(spark, folder, "signatures")
+    names = ("signature_id", "signature_name", "signature_version", "category", "engine", "severity", "direction", "anomaly_points")
+    rest = ("subcategory", "technique", "confidence", "performance_cost", "match_condition", "default_action")
+    return s.select(*names, F.col("default_enabled").alias("enabled"), *rest, F.array_join(F.coalesce("tags", F.array()), ",").alias("tags"))
+
+
 def signature_layers(spark: SparkSession, folder: str) -> DataFrame:
     """A custom layer over the catalog: critical signatures are raised by a point, and a new one is added."""
     base = table(spark, folder, "signatures").select("signature_id", "category", "anomaly_points")
@@ -320,13 +344,48 @@ def session_history(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("session_id", F.col("life").cast("long").alias("life"), F.size("matched_signatures").cast("long").alias("kept"), F.array_join("matched_signatures", ",").alias("signatures"))
 
 
+EARLIEST = "0001-01-01"
+
+
 def guarded_calls(spark: SparkSession, folder: str) -> DataFrame:
     """Inputs and outputs of a session paired by their number: the decision of each guarded call."""
     d = requests(spark, folder, "session_id", "direction", "ts").where("session_id IS NOT NULL").join(table(spark, folder, "scan_responses").select("request_id", "decision"), "request_id")
-    d = d.withColumn("call", F.row_number().over(Window.partitionBy("session_id", "direction").orderBy("ts", "request_id")))
+    d = places(d.withColumn("ts", F.coalesce("ts", F.lit(EARLIEST).cast("timestamp_ntz"))), ["session_id", "direction"], "ts", "request_id").withColumnRenamed("rank", "call")
     return guarded(d.where("direction = 'input'"), d.where("direction = 'output'"), ["session_id", "call"])
 
 
+def _store(spark: SparkSession, folder: str) -> DataFrame:
+    """The last life of every session as a store; sessions named with an even number of letters have a longer time-out."""
+    lives = sessions.fold(_turns(spark, folder), signatures=None)
+    last = lives.groupBy("session_id").agg(F.max(F.struct("life", "turn_count", "cumulative_score", "last_accessed")).alias("x"))
+    ttl = F.when(F.length("session_id") % 2 == 0, 86400).otherwise(1800)
+    return last.select("session_id", F.col("x.turn_count").cast("long").alias("turn_count"), F.round("x.cumulative_score", 6).alias("cumulative_score"), "x.last_accessed", ttl.alias("ttl"))
+
+
+def session_created(spark: SparkSession, folder: str) -> DataFrame:
+    """A store with room for three more sessions, after one is asked for in the name of every source and every session is asked for again."""
+    asked = requests(spark, folder, "session_id", "source", "ts").where("ts IS NOT NULL")
+    by_source = asked.where("source IS NOT NULL").groupBy(F.concat(F.lit("new-"), "source").alias("session_id")).agg(F.min("ts").alias("at"))
+    again = asked.where("session_id IS NOT NULL").groupBy("session_id").agg(F.max("ts").alias("at"))
+    states = _store(spark, folder)
+    out = sessions.create(states, by_source.unionByName(again), limit=sessions.count(states) + 3)
+    return out.withColumn("ttl", F.col("ttl").cast("long"))
+
+
+def session_deleted(spark: SparkSession, folder: str) -> DataFrame:
+    """A store without the sessions in which something was blocked."""
+    blocked = requests(spark, folder, "session_id").join(table(spark, folder, "scan_responses").where("decision = 'block'").select("request_id"), "request_id")
+    return sessions.delete(_store(spark, folder), blocked.where("session_id IS NOT NULL")).withColumn("ttl", F.col("ttl").cast("long"))
+
+
+def session_cleaned(spark: SparkSession, folder: str) -> DataFrame:
+    """What is left of a store, and what a clean-up removes, an hour after its last use; each session has its own time-out."""
+    states = _store(spark, folder)
+    now = F.lit(states.agg((F.max("last_accessed") + F.expr("INTERVAL 1 HOUR")).alias("now")).first().now)
+    kept = sessions.clean(states, now).select("session_id", "turn_count", F.lit("kept").alias("what"))
+    return kept.unionByName(sessions.expired(states, now).select("session_id", "turn_count", F.lit("removed").alias("what")))
+
+
 def hits_rollup(spark: SparkSession, folder: str) -> DataFrame:
     return reports.hits_rollup(matches(spark, folder), F.broadcast(table(spark, folder, "signatures")))
 
@@ -360,6 +419,8 @@ EVENTS_SQL = r"""
  marked AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER w < 1800000000 THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY actor ORDER BY ts, audit_id)),
  numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY actor ORDER BY ts, audit_id ROWS UNBOUNDED PRECEDING) AS s FROM marked),
  bounds AS (SELECT *, min(ts) OVER (PARTITION BY actor, s) AS lo, max(ts) OVER (PARTITION BY actor, s) AS hi FROM numbered)"""
+STORE_SQL = """store AS (SELECT session_id, max(turn) AS turn_count, round(sum(coalesce(score, 0.0)), 6) AS cumulative_score, max(ts) AS last_accessed,
+   CASE WHEN length(session_id) % 2 = 0 THEN 86400 ELSE 1800 END::BIGINT AS ttl FROM turns GROUP BY session_id, life QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY life DESC) = 1)"""
 TURNS_SQL = f"""{REQUESTS_SQL},
  t0 AS (SELECT r.request_id, r.x.session_id AS session_id, r.x.ts AS ts, p.score FROM requests r LEFT JOIN scan_responses p USING (request_id) WHERE r.x.session_id IS NOT NULL AND r.x.ts IS NOT NULL),
  t1 AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY session_id ORDER BY ts, request_id) >= 1800000000 THEN 1 ELSE 0 END AS f FROM t0),
@@ -422,7 +483,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         scan_requests_decisions, scan_documents, scan_monitor_mode, scan_response_fields, scan_hits, signature_activity, strip_invisible, map_lookalikes, rot13,
         normalised, unicode_analysis, decode_base64, decode_hex, entropy,
         substring_signatures, condition_signatures, additive_scores, fused_scores, fused_scores_strict, fused_scores_windows, policy_overrides, signature_routing, signature_listing,
-        signature_layers, semantic_neighbours, semantic_best, semantic_hits, session_states, session_running, session_history, guarded_calls, hits_rollup, top_signatures,
+        signature_layers, signature_detail, substring_places, session_created, session_deleted, session_cleaned, semantic_neighbours, semantic_best, semantic_hits, session_states, session_running, session_history, guarded_calls, hits_rollup, top_signatures,
         decision_rates, audit_counts, audit_last,
     )
     return {f.__name__: f for f in named} | {"p2_found": sessionize.found, "p2_sessions": sessionize.sessions, "p2_gap_settings": sessionize.gap_settings}
@@ -450,6 +511,23 @@ def oracle_sql() -> dict[str, str]:
         "policy_overrides": f"WITH {MATCHES_SQL} SELECT m.match_id, m.signature_id, CASE WHEN s.severity = 'critical' THEN 15 ELSE s.anomaly_points END AS points, round(CASE s.confidence {_CASE} ELSE 0.70 END * CASE WHEN s.severity = 'critical' THEN 15 ELSE s.anomaly_points END, 6)::DOUBLE AS enforced_score FROM matches m JOIN signatures s USING (signature_id) WHERE CASE WHEN s.severity = 'low' THEN 'monitor' ELSE s.default_action END = 'enforce'",
         "signature_routing": "SELECT d AS scan_direction, engine, count(*) AS signatures, string_agg(signature_id, ',' ORDER BY signature_id) AS ids FROM (SELECT *, unnest(CASE WHEN direction = 'bidirectional' THEN ['input', 'output'] ELSE [direction] END) AS d FROM signatures WHERE is_enabled AND default_enabled) GROUP BY d, engine",
         "signature_listing": "SELECT signature_id, signature_name, category, severity, engine, direction, anomaly_points, default_action, default_enabled AS enabled FROM signatures",
+        "signature_detail": "SELECT signature_id, signature_name, signature_version, category, engine, severity, direction, anomaly_points, default_enabled AS enabled, subcategory, technique, confidence, performance_cost, match_condition, default_action, array_to_string(coalesce(tags, []), ',') AS tags FROM signatures",
+        "substring_places": f"""WITH RECURSIVE {REQUESTS_SQL},
+          lit AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS i FROM (SELECT DISTINCT lower(pattern_value) AS v FROM signature_patterns WHERE pattern_type = 'substring' AND pattern_value <> '')),
+          low AS (SELECT request_id, x.text AS text, {folded.format('x.text')} AS low FROM requests WHERE x.text IS NOT NULL),
+          cand AS (SELECT request_id, text, low, v, i FROM low, lit WHERE contains(low, v)),
+          occ AS (SELECT request_id, text, i, p AS s, p + length(v) AS e FROM (SELECT *, unnest(range(1, length(low) - length(v) + 2)) AS p FROM cand) WHERE substring(low, p, length(v)) = v),
+          taken AS (SELECT request_id, text, i, s, e FROM occ QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY e, s) = 1
+            UNION ALL SELECT o.request_id, o.text, o.i, o.s, o.e FROM (SELECT o.*, row_number() OVER (PARTITION BY o.request_id ORDER BY o.e, o.s) AS r FROM occ o JOIN taken t ON o.request_id = t.request_id AND o.s >= t.e) o WHERE r = 1)
+          SELECT request_id, CAST(i AS INTEGER) AS literal, substring(text, s, e - s) AS text, octet_length(encode(left(text, s - 1))) AS match_offset, octet_length(encode(substring(text, s, e - s))) AS match_length FROM taken""",
+        "session_created": f"""WITH {TURNS_SQL}, {STORE_SQL},
+          a0 AS (SELECT x.session_id AS session_id, x.source AS source, x.ts AS ts FROM requests WHERE x.ts IS NOT NULL),
+          asked AS (SELECT 'new-' || source AS session_id, min(ts) AS asked_at FROM a0 WHERE source IS NOT NULL GROUP BY source UNION ALL SELECT session_id, max(ts) FROM a0 WHERE session_id IS NOT NULL GROUP BY session_id),
+          live AS (SELECT *, sum(CASE WHEN starts_with(session_id, 'new-') THEN 1 ELSE 0 END) OVER (ORDER BY asked_at, session_id) AS used, starts_with(session_id, 'new-') AS fresh FROM asked),
+          ok AS (SELECT session_id, asked_at FROM live WHERE used < 3 OR used = 3 AND fresh)
+          SELECT * FROM store WHERE session_id NOT IN (SELECT session_id FROM ok) UNION ALL SELECT session_id, 0, 0.0, asked_at, 1800 FROM ok""",
+        "session_deleted": f"WITH {TURNS_SQL}, {STORE_SQL} SELECT * FROM store WHERE session_id NOT IN (SELECT r.x.session_id FROM requests r JOIN scan_responses p USING (request_id) WHERE p.decision = 'block' AND r.x.session_id IS NOT NULL)",
+        "session_cleaned": f"WITH {TURNS_SQL}, {STORE_SQL} SELECT session_id, turn_count, CASE WHEN epoch_us((SELECT max(last_accessed) + INTERVAL 1 HOUR FROM store)) - epoch_us(last_accessed) >= ttl * 1000000 THEN 'removed' ELSE 'kept' END AS what FROM store",
         "signature_layers": "SELECT signature_id, category, CASE WHEN severity = 'critical' THEN anomaly_points + 1 ELSE anomaly_points END AS anomaly_points FROM signatures UNION ALL SELECT 'NEW-001', 'agentic', 5",
         "semantic_neighbours": f"WITH {PHRASES_SQL} SELECT vec_id, rank, phrase_id, round(sim, 5) AS similarity FROM ranked",
         "semantic_best": f"WITH {PHRASES_SQL} SELECT vec_id, label, round(max(sim), 5) AS similarity FROM ranked WHERE sim > 0 GROUP BY vec_id, label",
@@ -463,6 +541,11 @@ def oracle_sql() -> dict[str, str]:
         "decision_rates": f"WITH {REQUESTS_SQL} SELECT r.x.source AS source, r.x.direction AS direction, count(*) AS requests, count(*) FILTER (WHERE decision = 'block') AS blocked, count(*) FILTER (WHERE decision = 'flag') AS flagged, round(count(*) FILTER (WHERE decision = 'block') / count(*), 6) AS block_rate FROM requests r JOIN scan_responses USING (request_id) GROUP BY 1, 2",
         "audit_counts": "SELECT category, count(DISTINCT audit_id) AS events FROM audit_log GROUP BY category",
         "audit_last": "SELECT audit_id, any_value(audit_action) AS audit_action, any_value(event_ts) AS event_ts FROM audit_log WHERE category = 'scan' GROUP BY audit_id ORDER BY event_ts DESC NULLS LAST, audit_id DESC LIMIT 100",
+        "p2_gap_settings": " UNION ALL ".join(
+            f"SELECT {g}::BIGINT AS gap_s, count(*) AS sessions, max(d) / 1000000.0 AS longest_s FROM (WITH {EVENTS_SQL.replace('1800000000', str(g * 1000000))} "
+            "SELECT epoch_us(max(hi)) - epoch_us(min(lo)) AS d FROM bounds GROUP BY actor, s)"
+            for g in sessionize.SETTINGS
+        ),
         "p2_found": f"WITH {EVENTS_SQL} SELECT actor, min(audit_id) FILTER (WHERE ts = lo) AS first_audit_id, max(audit_id) FILTER (WHERE ts = hi) AS last_audit_id FROM bounds GROUP BY actor, s",
         "p2_sessions": f"""WITH {EVENTS_SQL} SELECT actor, min(audit_id) FILTER (WHERE ts = lo) AS first_id, max(audit_id) FILTER (WHERE ts = hi) AS last_id, min(lo) AS start, max(hi) AS "end",
           (epoch_us(max(hi)) - epoch_us(min(lo))) / 1000000.0 AS duration, count(*) AS events FROM bounds GROUP BY actor, s""",
