@@ -40,3 +40,11 @@ def kind_name(col) -> F.Column:
 def form_key(spark: SparkSession, folder: str) -> tuple:
     """Corpus frequencies of look-alike class members over all requests and patterns."""
     return counts_key(member_counts(records(spark, folder), "text"))
+
+
+def small(df: DataFrame, most: int = 10_000) -> list:
+    """The rows of a table of parameters; a ValueError if it has more than ``most``."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a table of parameters has more than {most} rows")
+    return rows

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from textward.llm.data import form_key, kind_name, records
 from textward.llm.lookalike import consistent_form
+from textward.operators.hotkeys import attach
 from textward.session import materialise
 
 
@@ -31,6 +32,19 @@ def classes(spark: SparkSession, folder: str) -> DataFrame:
     return groups.where("written > 1").select(kind_name(F.col("kind")).alias("record_kind"), "form_id", "written", "records")
 
 
+def members(spark: SparkSession, folder: str) -> DataFrame:
+    """record_kind, form_id, record_id: every record of the classes of :func:`classes`.
+
+    The linear form of the pairs of :func:`found`: one row per record, however large a class.
+    """
+    rows = materialise(forms(spark, folder), "forms")
+    groups = rows.groupBy("kind", "h1", "h2").agg(F.min("id").alias("form_id"), F.min("raw").alias("lo"), F.max("raw").alias("hi"), F.count(F.lit(1)).alias("_c"))
+    several = groups.where("lo <> hi")
+    keys = ["kind", "h1", "h2"]
+    out = attach(rows, several.select(*keys, "form_id"), keys, counts=several.select(*keys, "_c"))
+    return out.select(kind_name(F.col("kind")).alias("record_kind"), "form_id", F.col("id").alias("record_id"))
+
+
 def found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of records of one kind whose texts differ but whose consistent forms are equal.
 

@@ -17,7 +17,7 @@ from textward.llm.data import form_key, requests
 from textward.llm.fields import parse_fields
 from textward.llm.lookalike import rewriter_of
 from textward.operators.hotkeys import attach
-from textward.session import materialise
+from textward.session import drop_table, materialise
 
 #: Removed from a field before comparison: white space, separators, control and format
 #: characters, punctuation, and the ASCII symbols that serve as punctuation.
@@ -42,7 +42,7 @@ def canonical(col) -> F.Column:
 
 
 def tuples(spark: SparkSession, folder: str) -> DataFrame:
-    """request_id, code: the sorted integer tuple of each request's fields, as one BINARY-like string.
+    """request_id, c1, c2: 128 bits of hash of the sorted integer tuple of each request's fields, written.
 
     Texts are shuffled once, to build the dictionary of distinct fields; rows carry 128 bits of
     hash until they carry integer ids. Field names are part of the field, prose has none.
@@ -54,7 +54,7 @@ def tuples(spark: SparkSession, folder: str) -> DataFrame:
         "at",
         F.concat_ws("\u0001", "x.name", "x.value").alias("field"),
         F.xxhash64("x.name", "x.value").alias("k1"),
-        F.hash("x.value", "x.name").alias("k2"),
+        F.xxhash64(F.lit(7), "x.value", "x.name").alias("k2"),
     ).persist()
     distinct = cells.groupBy("k1", "k2").agg(F.first("field").alias("field"))
     names = F.substring_index("field", "\u0001", 1)
@@ -66,18 +66,24 @@ def tuples(spark: SparkSession, folder: str) -> DataFrame:
     dictionary = spelled.join(ids, ["c1", "c2"]).select("k1", "k2", "field_id")
     coded = attach(cells.select("request_id", "at", "k1", "k2"), dictionary, ["k1", "k2"])
     # one array per delivery's field position would repeat with re-deliveries: positions make cells unique
-    once = coded.groupBy("request_id", "at").agg(F.min("field_id").alias("field_id"))
-    return once.groupBy("request_id").agg(F.array_join(F.sort_array(F.collect_list("field_id")), " ").alias("code"))
+    single = coded.groupBy("request_id", "at").agg(F.min("field_id").alias("field_id"))
+    code = single.groupBy("request_id").agg(F.sort_array(F.collect_list("field_id")).alias("code"))
+    try:
+        return materialise(code.select("request_id", F.xxhash64("code").alias("c1"), F.xxhash64(F.lit(7), "code").alias("c2")), "tuples")
+    finally:
+        cells.unpersist()
+        for done in (spelled, ids):
+            drop_table(done)
 
 
 def groups(spark: SparkSession, folder: str) -> DataFrame:
     """group_id (smallest request of the group), copies: one row per distinct record."""
-    rows = tuples(spark, folder).select("request_id", F.xxhash64("code").alias("c1"), F.xxhash64(F.lit(7), "code").alias("c2"))
+    rows = tuples(spark, folder)
     return rows.groupBy("c1", "c2").agg(F.min("request_id").alias("group_id"), F.count(F.lit(1)).alias("copies")).select("group_id", "copies")
 
 
 def found(spark: SparkSession, folder: str) -> DataFrame:
     """request_id, group_id for the members of groups of two or more."""
-    rows = materialise(tuples(spark, folder).select("request_id", F.xxhash64("code").alias("c1"), F.xxhash64(F.lit(7), "code").alias("c2")), "tuples")
+    rows = tuples(spark, folder)
     several = rows.groupBy("c1", "c2").agg(F.min("request_id").alias("group_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     return attach(rows, several, ["c1", "c2"]).select("request_id", "group_id")

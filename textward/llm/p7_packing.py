@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textward.llm.data import small
 from textward.llm.sizes import document_sizes, slices_for
 from textward.operators.prefix import order_hash, with_prefix
 from textward.sources.tables import table
@@ -102,13 +103,15 @@ def plan(hist: np.ndarray, seed: int = 7) -> list[tuple[dict[int, int], int]]:
     return out
 
 
-def pieces(sizes: DataFrame, targets: DataFrame) -> DataFrame:
+def pieces(sizes: DataFrame, targets: dict[str, int]) -> DataFrame:
     """target_id, capacity, doc_id, n_tokens, n_full, rest: the parts a document falls into.
 
     A document within the capacity is one rest piece; a longer one is cut into full containers
-    and a rest, which may be empty. ``targets`` is the small table of capacities (fixed).
+    and a rest, which may be empty. ``targets`` names the capacities.
     """
-    pairs = sizes.join(F.broadcast(targets.where("capacity_tokens > 0")))
+    listed = F.array(*[F.struct(F.lit(k).alias("target_id"), F.lit(v).cast("int").alias("capacity_tokens")) for k, v in sorted(targets.items())])
+    listed = listed.cast("array<struct<target_id:string,capacity_tokens:int>>")
+    pairs = sizes.select("*", F.explode(listed).alias("t")).select("doc_id", "n_tokens", "t.*")
     cut = F.when(F.col("n_tokens") > F.col("capacity_tokens"), F.floor(F.col("n_tokens") / F.col("capacity_tokens"))).otherwise(0)
     return pairs.select("target_id", F.col("capacity_tokens").alias("capacity"), "doc_id", "n_tokens", cut.cast("int").alias("n_full")).withColumn("rest", F.col("n_tokens") - F.col("n_full") * F.col("capacity"))
 
@@ -131,13 +134,19 @@ def locate(intervals: dict[str, tuple]):
     return find
 
 
+def capacities(spark: SparkSession, folder: str) -> dict[str, int]:
+    """Capacity of each target; the largest, where one is named twice; targets without a capacity are left out."""
+    rows = table(spark, folder, "pack_targets").where("target_id IS NOT NULL AND capacity_tokens > 0")
+    return {r.target_id: r.c for r in small(rows.groupBy("target_id").agg(F.max("capacity_tokens").alias("c")))}
+
+
 def packing(spark: SparkSession, folder: str) -> DataFrame:
     """target_id, container_id, doc_id, piece, n_tokens: every token of every document, packed.
 
     ``piece`` counts a document's pieces from 0; the tokens of a container sum to at most the
     target's capacity. No documents or no targets give an empty result.
     """
-    parts = pieces(document_sizes(spark, folder), table(spark, folder, "pack_targets").where("target_id IS NOT NULL").select("target_id", "capacity_tokens").distinct())
+    parts = pieces(document_sizes(spark, folder), capacities(spark, folder))
     size = F.ceil(F.col("rest") * BINS / F.col("capacity")).cast("int")
     items = parts.where("rest > 0").withColumn("size", size).withColumn("ord", order_hash("doc_id", "target_id"))
     # at most BINS rows a target
@@ -171,6 +180,7 @@ def packing(spark: SparkSession, folder: str) -> DataFrame:
 def fill(spark: SparkSession, folder: str) -> DataFrame:
     """target_id, containers, tokens, fill (share of the room used)."""
     rows = packing(spark, folder).groupBy("target_id", "container_id").agg(F.sum("n_tokens").alias("t"))
-    targets = F.broadcast(table(spark, folder, "pack_targets").select("target_id", "capacity_tokens").distinct())
+    known = capacities(spark, folder)
+    room = F.create_map(*[F.lit(x) for pair in known.items() for x in pair]) if known else F.lit(None).cast("map<string,int>")
     sums = rows.groupBy("target_id").agg(F.count(F.lit(1)).alias("containers"), F.sum("t").alias("tokens"))
-    return sums.join(targets, "target_id").select("target_id", "containers", "tokens", (F.col("tokens") / F.col("containers") / F.col("capacity_tokens")).alias("fill"))
+    return sums.select("target_id", "containers", "tokens", (F.col("tokens") / F.col("containers") / room[F.col("target_id")]).alias("fill"))

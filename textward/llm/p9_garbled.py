@@ -53,8 +53,6 @@ PAIRS = (
     ("cp1252", "mac_roman"),
 )
 LOST = len(PAIRS) + 1
-#: Times a text may have been garbled in a row.
-ROUNDS = 3
 #: Log-probability of leaving a state, of a character a state can't emit, and of entering a state:
 #: reading UTF-8 in another encoding is the usual accident, others need more evidence.
 LEAVE, NEVER = -2.5, -25.0
@@ -268,7 +266,7 @@ class Model:
     def restore(self, text: str) -> tuple[str, list[int]]:
         """The text with every garbled span put right where that is possible, and the states found."""
         found: list[int] = []
-        for _ in range(ROUNDS):
+        while True:
             spans = self.labels(text)
             if not spans:
                 break
@@ -279,9 +277,9 @@ class Model:
                 changed |= new != text[start:end]
                 out += (text[at:start], new)
                 at = end
-            text = "".join(out) + text[at:]
-            # only UTF-8 read wrongly is written as UTF-8 and read wrongly again
-            if not changed or any(state != LOST and not PAIRS[state - 1][0].startswith("utf-8") for _, _, state in spans):
+            before, text = len(text), "".join(out) + text[at:]
+            # only UTF-8 read wrongly is written as UTF-8 and read wrongly again; undoing it makes the text shorter, so the rounds end
+            if not changed or len(text) >= before or any(state != LOST and not PAIRS[state - 1][0].startswith("utf-8") for _, _, state in spans):
                 break
         return text, found
 

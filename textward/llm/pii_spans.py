@@ -25,6 +25,8 @@ STREETS = r"street|st|road|rd|avenue|ave|lane|ln|drive|dr|terrace|court|ct|way|c
 _AT = r"(?:@|\s*[(\[{<]\s*(?:at|@|arroba|arobase|собака)\s*[)\]}>]\s*|\s+(?:at|arroba|arobase|собака|klammeraffe)\s+)"
 _DOT = r"(?:\.|\s*[(\[{<]\s*(?:dot|punto|point|punkt|точка)\s*[)\]}>]\s*|\s+(?:dot|punto|point|punkt|точка)\s+)"
 _EMAIL = re.compile(rf"(?i)(?<![\w.+@-])[\w][\w.+-]*{_AT}[\w-]+(?:{_DOT}[\w-]+)*?{_DOT}[^\W\d_]{{2,}}(?![\w-])(?!{_DOT}[\w-])(?![\w.+-]*@)")
+#: The plain spelling of an address, for checks.
+PLAIN_EMAIL = re.compile(r"(?<![\w.+@-])[A-Za-z0-9][A-Za-z0-9._+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![\w@-])")
 _NUMBER = re.compile(r"(?i)(?<![\w.+/-])(?:tel:)?(?:\+|\()?\d(?:[\s().\-/]{0,2}\d){6,}(?:[\s-]?[A-Z]\b)?(?![\w])|(?<!\w)[A-Z]{2}\s?\d{2}\s?\d{2}\s?\d{2}\s?[A-D](?!\w)")
 _SHAPES = tuple(
     (name, re.compile(pattern, re.I))
@@ -76,10 +78,11 @@ _COMMA = re.compile(r"^,\s+$")
 
 
 # Cheap tests on a lower-cased text and its words, so that most texts skip the long patterns.
-_AT_WORDS = frozenset("at arroba arobase собака klammeraffe".split())
-_DOT_WORDS = frozenset("dot punto point punkt точка".split())
-_STREET_WORDS = frozenset(STREETS.split("|")) | frozenset("rue avenue impasse allée allee boulevard place quai chemin route cours calle c plaza avda avenida paseo camino ronda ул улица пр проспект пер переулок box postfach apartado boîte а".split())
-_STREET_ENDS = ("straße", "strasse", "str.", "weg", "gasse", "platz", "allee", "ufer", "damm")
+_AT_WORDS = frozenset("arroba arobase собака klammeraffe".split())
+#: Never narrower than the address pattern, for the one spelling that is a common word.
+_AT_GATE = re.compile(r"[\s(\[{<]at[\s)\]}>]\s*[\w-]+(?:\.[^\W\d_]|\s*[(\[{<]|\s+(?:dot|punto|point|punkt|точка)\s|\.[\w-])")
+_STREET_WORDS = frozenset(STREETS.split("|")) | frozenset("rue avenue impasse allée allee boulevard place quai chemin route cours calle c plaza avda avenida paseo camino ronda ул улица пр проспект пер переулок box pobox postfach apartado boîte а".split())
+_STREET_ENDS = ("straße", "strasse", "str.", "str ", "weg", "gasse", "platz", "allee", "ufer", "damm")
 _INTRO_PARTS = ("name", "llamo", "nombre", "appelle", "nom est", "heiße", "heisse", "зовут", "yours", "regards", "wishes", "grüßen", "grüssen", "cordialement", "saludos", "atentamente", "уважением", "spoke", "talked", "appointment", "signed", "wrote to", "called me", "lives at", "can be reached", "wohnt", "i am called")
 
 
@@ -214,7 +217,7 @@ def spans(text: str, given: dict[str, int], family: dict[str, int], common: froz
     low = text.lower()
     words = set(_WORDS.findall(low))
     out: list[Span] = []
-    if "@" in low or not (words.isdisjoint(_AT_WORDS) or ("dot" not in low and words.isdisjoint(_DOT_WORDS) and "(at)" not in low and "[at]" not in low)):
+    if "@" in low or not words.isdisjoint(_AT_WORDS) or "at" in words and _AT_GATE.search(low):
         out += _emails(text)
     if _LONG.search(low):
         out += _numbers(text)
