@@ -1,4 +1,4 @@
-"""Functions for SQL: guard_normalize, guard_decode, guard_entropy, guard_score, guard_decision, guard_matches, guard_explain."""
+"""Functions for SQL: guard_normalize, guard_decode, guard_entropy, guard_score, guard_decision, guard_found, guard_matches, guard_explain."""
 
 from __future__ import annotations
 
@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textward.functions import normalize as n
+from textward.operators import heuristic
+from textward.operators.heuristic import MATCH
 from textward.operators.scoring import CORROBORATION, ScoringPolicy
-from textward.sources.catalog import Catalog
+from textward.plans.scan import Scanner
 
 _INVISIBLE = {ord(c): None for c in n.INVISIBLE}
 _LOOKALIKE = {ord(a): b for a, b in zip(n.LOOKALIKE_FROM, n.LOOKALIKE_TO)}
@@ -83,23 +85,6 @@ def entropy(text: str | None) -> float:
     return -sum(c / len(raw) * math.log2(c / len(raw)) for c in Counter(raw).values()) + 0.0 if raw else 0.0
 
 
-def explain(text: str | None, direction: str) -> list[tuple[str, str, float]]:
-    """(signature, matched text, score) of the built-in heuristic signatures, with Python's expressions."""
-    plain, out = normalise(text), []
-    for s in Catalog.load().active(direction):
-        if s.engine != "heuristic" or not plain:
-            continue
-        hits = []
-        for p in s.patterns:
-            try:
-                hits.append(re.search(p.value if p.type == "regex" else re.escape(p.value), plain, re.IGNORECASE) if p.type in ("regex", "substring") else None)
-            except re.error:
-                hits.append(None)
-        if hits and (all(hits) if s.condition == "all" else any(hits)):
-            out.append((s.id, next(h for h in hits if h).group(), s.base_confidence * s.anomaly_points))
-    return out
-
-
 def score(matches) -> float:
     """Score of a list of rows with signature_id, score, confidence, severity."""
     rows = list(matches if matches is not None else [])
@@ -110,7 +95,15 @@ def score(matches) -> float:
     return rows[at]["score"] + sum(m["confidence"] * CORROBORATION * rows[at]["severity"] / (1 + r) for r, m in enumerate(rest))
 
 
-def register(spark: SparkSession, policy: ScoringPolicy = ScoringPolicy()) -> list[str]:
+def _matches_sql(scanner: Scanner) -> str:
+    """SQL of the matches of ``text`` under the scanner's policy, the expression a scan runs; patterns unsafe for the JVM are left out."""
+    chosen = [(s, p) for s, p in scanner.signatures(None, "heuristic") if not heuristic.slow_patterns([s])]
+    inner = heuristic.matches_sql(chosen, "x.t", "x.low", "x.side")
+    bound = "named_struct('t', guard_normalize(text), 'low', lower(guard_normalize(text)), 'side', IF(direction IN ('input', 'output'), direction, NULL))"
+    return f"element_at(transform(array({bound}), x -> {inner}), 1)"
+
+
+def register(spark: SparkSession, policy: ScoringPolicy = ScoringPolicy(), scanner: Scanner | None = None) -> list[str]:
     """Register the functions; gives their names."""
 
     def texts(f, kind):
@@ -125,23 +118,20 @@ def register(spark: SparkSession, policy: ScoringPolicy = ScoringPolicy()) -> li
     spark.udf.register("guard_decode", texts(lambda t: decode(t or "")[0], T.StringType()))
     spark.udf.register("guard_entropy", texts(entropy, T.DoubleType()))
     spark.udf.register("guard_score", texts(score, T.DoubleType()))
-    listed = T.ArrayType(T.StringType())
-
-    @F.pandas_udf(listed)
-    def matches(text: pd.Series, direction: pd.Series) -> pd.Series:
-        return pd.Series([[m[0] for m in explain(t, d)] for t, d in zip(text, direction)], dtype=object)
-
-    spark.udf.register("guard_matches", matches)
+    shown = _matches_sql(scanner or Scanner())
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION guard_found(text STRING, direction STRING) RETURNS ARRAY<{MATCH}> RETURN {shown}")
+    spark.sql(
+        "CREATE OR REPLACE TEMPORARY FUNCTION guard_matches(text STRING, direction STRING) RETURNS ARRAY<STRING> "
+        "RETURN transform(guard_found(text, direction), m -> m.signature_id)"
+    )
+    spark.sql(
+        "CREATE OR REPLACE TEMPORARY FUNCTION guard_explain(text STRING, direction STRING) "
+        "RETURNS TABLE (signature_id STRING, matched_text STRING, score DOUBLE, match_offset BIGINT, match_length BIGINT) "
+        "RETURN SELECT m.signature_id, m.matched_text, m.score, m.match_offset, m.match_length FROM (SELECT guard_found(text, direction) AS a) LATERAL VIEW explode(a) e AS m"
+    )
     spark.sql(
         f"""CREATE OR REPLACE TEMPORARY FUNCTION guard_decision(score DOUBLE, direction STRING) RETURNS STRING RETURN
         CASE WHEN score >= IF(direction = 'input', {policy.inbound_block}, {policy.outbound_block}) THEN 'block'
              WHEN score >= IF(direction = 'input', {policy.inbound_flag}, {policy.outbound_flag}) THEN 'flag' ELSE 'allow' END"""
     )
-
-    @F.udtf(returnType="signature_id: string, matched_text: string, score: double")
-    class Explain:
-        def eval(self, text: str, direction: str):
-            yield from explain(text, direction)
-
-    spark.udtf.register("guard_explain", Explain)
-    return ["guard_normalize", "guard_decode", "guard_entropy", "guard_score", "guard_matches", "guard_decision", "guard_explain"]
+    return ["guard_normalize", "guard_decode", "guard_entropy", "guard_score", "guard_found", "guard_matches", "guard_decision", "guard_explain"]

@@ -102,13 +102,8 @@ def direction_test(signature: Signature, side: str) -> str:
     return f"coalesce({side}, {sql_string(signature.direction)}) = {sql_string(signature.direction)}"
 
 
-def matches(signatures: list[tuple[Signature, float]], text: str, low: str, side: str | None = None, slow: list[str] = (), chunk: int = 10) -> Column:
-    """ARRAY<MATCH> of the signatures that hit, in order; ``signatures`` come with their points.
-
-    ``text`` and ``low`` name the columns of the normalised text and its lower case, ``side`` that of
-    the direction, where a table holds both. Built as one SQL expression (parsed once), in chunks of
-    signatures so that generated methods stay small; an empty text has no hits.
-    """
+def matches_sql(signatures: list[tuple[Signature, float]], text: str, low: str, side: str | None = None, slow: list[str] = (), chunk: int = 10) -> str:
+    """SQL of ARRAY<MATCH> of the signatures that hit; see :func:`matches`."""
     parts = []
     for at in range(0, len(signatures), chunk):
         tried = []
@@ -118,12 +113,20 @@ def matches(signatures: list[tuple[Signature, float]], text: str, low: str, side
                 hit = f"CASE WHEN {direction_test(s, side)} THEN {hit} END"
             tried.append(f"named_struct('signature_id', {sql_string(s.id)}, 'hit', {hit}, 'score', {c * points!r}D, 'confidence', {c!r}D, 'severity', {float(points)!r}D)")
         parts.append(f"filter(array({', '.join(tried)}), m -> m.hit IS NOT NULL)")
-    none = F.array().cast(f"array<{MATCH}>")
     if not parts:
-        return none
+        return f"CAST(array() AS array<{MATCH}>)"
     shown = (
         "named_struct('signature_id', m.signature_id, 'engine', 'heuristic', 'matched_text', m.hit.t, 'score', m.score, 'confidence', m.confidence, "
         "'severity', m.severity, 'match_offset', m.hit.o, 'match_length', CAST(octet_length(m.hit.t) AS BIGINT))"
     )
-    found = F.expr(f"transform(flatten(array({', '.join(parts)})), m -> {shown})").cast(f"array<{MATCH}>")
-    return F.when(F.length(F.col(text)) > 0, found).otherwise(none)
+    return f"CAST(transform(IF(length({text}) > 0, flatten(array({', '.join(parts)})), array()), m -> {shown}) AS array<{MATCH}>)"
+
+
+def matches(signatures: list[tuple[Signature, float]], text: str, low: str, side: str | None = None, slow: list[str] = (), chunk: int = 10) -> Column:
+    """ARRAY<MATCH> of the signatures that hit, in order; ``signatures`` come with their points.
+
+    ``text`` and ``low`` name the columns of the normalised text and its lower case, ``side`` that of
+    the direction, where a table holds both. Built as one SQL expression (parsed once), in chunks of
+    signatures so that generated methods stay small; an empty text has no hits.
+    """
+    return F.expr(matches_sql(signatures, text, low, side, slow, chunk))

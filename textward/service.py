@@ -5,7 +5,9 @@ from __future__ import annotations
 import argparse
 import hmac
 import json
+import os
 import secrets
+import sys
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,6 +64,45 @@ def scan_path(spark: SparkSession, scanner: Scanner, path: str, fmt: str, direct
     return scanner.scan(spark.read.format(fmt).load(path), direction)
 
 
+#: Engines of each profile, beside the heuristic one.
+PROFILES = {"lite": (), "standard": ("classifier", "semantic"), "full": ("classifier", "semantic", "llm-judge")}
+
+
+def profile(name: str, folder: str = "models") -> Scanner:
+    """A scanner with the classifiers of a profile that lie in a local folder; other engines need a model given in code."""
+    scanner = Scanner()
+    if "classifier" in PROFILES[name]:
+        from textward.operators.engines import OnnxClassifier, classifier_engine
+
+        found = {m: OnnxClassifier(f"{folder}/{m}") for m in ("injection", "toxicity") if OnnxClassifier.available(f"{folder}/{m}")}
+        if found:
+            scanner.engines["classifier"] = classifier_engine(found)
+    return scanner
+
+
+def model_status(folder: str) -> list[dict]:
+    """Name and presence of each model of the profiles."""
+    from textward.operators.engines import OnnxClassifier
+
+    return [{"model": m, "present": OnnxClassifier.available(f"{folder}/{m}")} for m in ("injection", "toxicity")]
+
+
+def setup(path: str | None) -> int:
+    """Make keys; written to a file only its owner can read, which must not exist yet, or shown."""
+    keys = generate_keys()
+    if not path:
+        print(json.dumps(keys))
+        return 0
+    try:
+        handle = os.open(path, os.O_WRONLY | os.O_CREAT | os.O_EXCL, 0o600)
+    except FileExistsError:
+        print("the file exists; nothing was changed", file=sys.stderr)
+        return 1
+    with os.fdopen(handle, "w") as out:
+        json.dump(keys, out)
+    return 0
+
+
 def main(argv: list[str] | None = None) -> int:
     from textward.session import local_session
 
@@ -73,19 +114,40 @@ def main(argv: list[str] | None = None) -> int:
     scan.add_argument("--format", default="parquet")
     scan.add_argument("--out")
     scan.add_argument("--direction", default="input", choices=["input", "output"])
-    commands.add_parser("signatures", help="list the signatures")
+    test = commands.add_parser("test", help="scan a text under a profile")
+    test.add_argument("text")
+    test.add_argument("--direction", default="input", choices=["input", "output"])
+    test.add_argument("--profile", default="lite", choices=sorted(PROFILES))
+    commands.add_parser("signatures", help="list the signatures").add_argument("--id")
+    listed = commands.add_parser("models", help="the models and which of them are in the local folder")
+    listed.add_argument("what", choices=["list", "status"])
+    listed.add_argument("--folder", default="models")
+    admin = commands.add_parser("admin", help="set up keys")
+    admin.add_argument("what", choices=["setup"])
+    admin.add_argument("--file")
     commands.add_parser("keys", help="generate keys")
     args = parser.parse_args(argv)
     if args.command == "keys":
         print(json.dumps(generate_keys()))
         return 0
+    if args.command == "admin":
+        return setup(args.file)
+    if args.command == "models":
+        print(json.dumps(model_status(args.folder), indent=1))
+        return 0
     scanner = Scanner()
+    if args.command == "signatures" and args.id:
+        status, found = scanner.catalog.detail(args.id)
+        print(json.dumps(found))
+        return 0 if status == 200 else 1
     if args.command == "signatures":
         for s in scanner.catalog.signatures:
             print(s.id, s.engine, s.direction, s.anomaly_points, s.name, sep="\t")
         return 0
     spark = local_session()
-    if args.text is not None:
+    if args.command == "test":
+        print(json.dumps(scan_one(spark, profile(args.profile), args.text, args.direction)))
+    elif args.text is not None:
         print(json.dumps(scan_one(spark, scanner, args.text, args.direction)))
     elif args.path and args.out:
         scan_path(spark, scanner, args.path, args.format, args.direction).write.parquet(args.out)

@@ -33,13 +33,15 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
     Only where that is unset (tests on one machine) a temporary folder is used and
-    removed at exit.
+    removed at exit; on a cluster that is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         if set_dir.isDefined():
             return set_dir.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is unset: a cluster needs a folder all executors share")
         made = tempfile.mkdtemp(prefix="textward-")
         atexit.register(shutil.rmtree, made, True)
         spark.sparkContext.setCheckpointDir(f"file://{made}")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Categories of audit events.
-CATEGORIES = ("scan", "admin", "auth", "signatures", "policy", "session", "config", "model", "system", "health")
+CATEGORIES = ("auth", "policy", "config", "signatures", "engines", "tls", "admin", "rate_limit", "lifecycle", "scan")
 
 
 def write_events(events: DataFrame, folder: str) -> None:

@@ -6,6 +6,7 @@ category, defaults and a mapping id -> short rule. A bad file is recorded, not f
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass, field, replace
 from pathlib import Path
 
@@ -192,7 +193,10 @@ class Catalog:
     @classmethod
     def load(cls, folder: str | Path | None = None) -> Catalog:
         """All ``*.yaml`` and ``*.yml`` files below a folder, by path; FileNotFoundError without a folder."""
-        root = Path(folder) if folder else BUILT_IN
+        if folder is None:
+            built_in = _built_in()
+            return cls(list(built_in.signatures), list(built_in.errors))
+        root = Path(folder)
         if not root.is_dir():
             raise FileNotFoundError(root)
         out = cls()
@@ -227,6 +231,14 @@ class Catalog:
     def get(self, ident: str) -> Signature | None:
         return next((s for s in self.signatures if s.id == ident), None)
 
+    def detail(self, ident: str) -> tuple[int, dict | None]:
+        """(200, the sixteen fields of a signature), or (404, None) for an unknown id."""
+        s = self.get(ident)
+        if s is None:
+            return 404, None
+        names = ("id", "name", "version", "category", "engine", "severity", "direction", "anomaly_points", "subcategory", "technique", "confidence", "performance_cost", "condition", "default_action")
+        return 200, {n: getattr(s, n) for n in names} | {"enabled": s.default_enabled, "tags": list(s.tags or ())}
+
     def ids(self) -> list[str]:
         return [s.id for s in self.signatures]
 
@@ -264,6 +276,11 @@ class Catalog:
         return self.frame(spark).orderBy("ord").select("id", "name", "category", "severity", "engine", "direction", "anomaly_points", "default_action", F.col("default_enabled").alias("enabled"))
 
 
+@functools.lru_cache(maxsize=1)
+def _built_in() -> Catalog:
+    return Catalog.load(BUILT_IN)
+
+
 def merge_layers(base: DataFrame, over: DataFrame, key: str = "signature_id") -> DataFrame:
     """Layers as tables: rows of ``over`` replace the rows of ``base`` with their key.
 
