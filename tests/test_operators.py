@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from textward.operators import engines, sessions
+from textward.operators import engines, sessions, substrings, timeline
 from textward.operators.components import components
 from textward.operators.gap_tree import SECOND, build, cut, gap_tree
 from textward.operators.hotkeys import attach
@@ -34,7 +34,7 @@ def plain_sessions(times, limit):
 def test_tree_in_chunks(times, limit, size):
     """Cutting the tree merged from chunks of any size gives the plain sessions, for any threshold."""
     times = sorted(times)
-    items = [(t, t, 1, i, i, -1) for i, t in enumerate(times)]
+    items = [(t * SECOND, t * SECOND, 1, i, i, -1, -1, 0) for i, t in enumerate(times)]
     nodes, rest = [], []
     chunks = [items[i : i + size] for i in range(0, len(items), size)]
     for chunk in chunks:
@@ -42,7 +42,7 @@ def test_tree_in_chunks(times, limit, size):
         nodes += a
         rest += b
     nodes += build(rest, False, False)[0]
-    got = sorted((n[0], n[1], n[2]) for n in nodes if n[5] < limit <= n[6])
+    got = sorted((n[0] // SECOND, n[1] // SECOND, n[2]) for n in nodes if n[5] < limit <= n[-1])
     assert got == sorted(plain_sessions(times, limit))
 
 
@@ -60,6 +60,73 @@ def test_gap_tree_with_a_hot_actor(spark):
     assert SECOND == 1_000_000
 
 
+def test_gap_tree_with_equal_and_rising_gaps(spark):
+    """A heartbeat and events of one moment leave few open items a chunk, so no task gathers the actor."""
+    beat, moment = 200_000, 60_000
+    start = F.unix_seconds(F.lit(at(0)).cast("timestamp"))
+    rows = spark.range(beat).select(F.lit("beat").alias("actor"), F.timestamp_seconds(start + F.col("id") * 60).alias("ts"), "id")
+    rows = rows.union(spark.range(moment).select(F.lit("moment"), F.timestamp_seconds(start), "id"))
+    rows = rows.union(spark.range(3000).select(F.lit("rising"), F.timestamp_seconds(start + F.expr("id * (id + 1) div 2")), "id"))
+    chunk = [(i * 60 * SECOND, i * 60 * SECOND, 1, i, i, -1, -1, 0) for i in range(10_000)]
+    nodes, rest = build(chunk, True, True)
+    assert len(rest) == 2 and len(nodes) == 9_998
+    assert len(build([(0, 0, 1, i, i, -1, -1, 0) for i in range(10_000)], True, True)[1]) == 2
+    tree = gap_tree(rows).cache()
+    for limit, want in ((60, {"beat": beat, "moment": 1, "rising": 2941}), (61, {"beat": 1, "moment": 1, "rising": 2940})):
+        got = {r.actor: (r.n, r.e) for r in cut(tree, limit).groupBy("actor").agg(F.count("*").alias("n"), F.sum("events").alias("e")).collect()}
+        assert got == {a: (n, {"beat": beat, "moment": moment, "rising": 3000}[a]) for a, n in want.items()}
+    one = cut(tree, 61).where("actor = 'moment'").first()
+    assert (one.first_id, one.last_id) == (0, moment - 1)
+
+
+def test_places(spark):
+    """Ranks, lives and turns by slices are those of plain windows, for a hot key, ties and nulls."""
+    rnd = random.Random(2)
+    rows = [("hot" if rnd.random() < 0.5 else f"k{rnd.randrange(9)}", at(rnd.randrange(4000)), i) for i in range(3000)] + [(None, at(1), -1), ("hot", None, -2)]
+    got = timeline.places(spark.createDataFrame(rows, "k string, ts timestamp, id long"), ["k"], "ts", "id", 20, seconds=7).collect()
+    assert len(got) == 3000
+    for k in {r.k for r in got}:
+        life = turn = -1
+        last = None
+        for rank, r in enumerate(sorted((r for r in got if r.k == k), key=lambda r: (r.ts, r.id)), 1):
+            fresh = last is not None and (r.ts - last).total_seconds() >= 20
+            life, turn = (0, 1) if last is None else (life + fresh, 1 if fresh else turn + 1)
+            last = r.ts
+            assert (r["rank"], r.life, r.turn) == (rank, life, turn)
+
+
+def test_session_store(spark):
+    kind = "session_id string, turn_count long, cumulative_score double, last_accessed timestamp, ttl int"
+    states = spark.createDataFrame([("a", 3, 1.0, at(0), 60), ("b", 1, 2.0, at(50), None), ("c", 1, 0.0, None, 60)], kind)
+    asked = spark.createDataFrame([("x", at(5), 10), ("a", at(6), None), ("y", at(7), None), ("z", at(8), None), (None, at(1), None), ("b", at(9), 7)], "session_id string, at timestamp, ttl int")
+    got = {r.session_id: (r.turn_count, r.ttl) for r in sessions.create(states, asked, limit=5).collect()}
+    assert got == {"a": (0, 1800), "b": (1, None), "c": (1, 60), "x": (0, 10), "y": (0, 1800)}
+    assert sessions.create(states, asked, limit=3).count() == 3
+    assert {r.session_id for r in sessions.delete(states, asked).collect()} == {"c"}
+    assert {r.session_id: r.turn_count for r in sessions.get(states, asked.where("session_id < 'y'")).collect()} == {"a": 3, "b": 1, "x": None}
+    assert {r.session_id for r in sessions.clean(states, at(60)).collect()} == {"b", "c"} and sessions.count(states) == 3
+    assert {r.session_id for r in sessions.expired(states, at(60)).collect()} == {"a"}
+    assert sessions.create(states.limit(0), asked.limit(0)).count() == 0
+
+
+def test_places_of_literals(spark):
+    assert substrings.places("abcabé ABC", ["bc", "abc", "ab", ""], True) == [(2, "ab", 0, 2), (2, "ab", 3, 2), (2, "AB", 8, 2)]
+    assert substrings.places("xabcx bc", ["abc", "bc"], False) == [(0, "abc", 1, 3), (1, "bc", 6, 2)]
+    df = spark.createDataFrame([("É one ONE",), (None,), ("",), ("none of it",)], "t string")
+    got = [[tuple(m) for m in r.m] for r in df.select(substrings.occurrences(F.col("t"), ["one"]).alias("m")).collect()]
+    assert got == [[(0, "one", 3, 3), (0, "ONE", 7, 3)], [], [], [(0, "one", 1, 3)]]
+    assert df.select(substrings.occurrences(F.col("t"), [""]).alias("m")).where("size(m) > 0").count() == 0
+
+
+def test_a_bad_text_spoils_only_itself():
+    def scorer(texts):
+        if "bad" in texts:
+            raise ValueError
+        return [(0.9, "INJECTION")] * len(texts)
+
+    assert engines._scored(scorer, ["a", "bad", "b"]) == [(0.9, "INJECTION"), (None, None), (0.9, "INJECTION")]
+
+
 def test_prefix(spark):
     df = spark.range(5000).select(F.col("id"), F.when(F.col("id") % 3 > 0, "hot").otherwise(F.lit(None).cast("string")).alias("g"), (F.col("id") % 7).alias("v"), order_hash("id").alias("o"))
     rows = with_prefix(df, ["g"], "o", ["id"], "v", slices=16).collect()
