@@ -165,7 +165,8 @@ def regrouped(roots: DataFrame, fresh: DataFrame) -> DataFrame:
     over = materialise(over, "over")
     if over.isEmpty():
         return base
-    joined = materialise(components(over, "ra", "rb"), "joined").withColumnsRenamed({"node": "root", "root": "top"})
+    # one select: renaming node to root and root to top one after the other would make both top
+    joined = materialise(components(over, "ra", "rb"), "joined").select(F.col("node").alias("root"), F.col("root").alias("top"))
     return base.join(joined, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
 
 
