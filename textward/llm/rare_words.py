@@ -2,9 +2,9 @@
 
 Under one order of the elements, rare ones first, two multisets that reach the threshold share an
 element among the first ones of both: of the larger one (of n) the n - ceil(t n) + 1 first, of
-the smaller one the n - ceil(2 t n / (1 + t)) + 1 first. Any order is right; counts of a sample
-make it a good one. No pair is held back: work grows with the records that share a rare element
-and are not in one group yet.
+the smaller one the n - ceil(2 t n / (1 + t)) + 1 first. Any order is right; counts of all
+elements make it a good one. No pair is held back: work grows with the records that share a rare
+element and are not in one group yet.
 """
 
 from __future__ import annotations
@@ -18,9 +18,8 @@ from pyspark.sql import functions as F
 
 from textward.llm import lsh_forest as forest
 
-#: Elements are counted in so many buckets, over about so many multisets.
+#: Elements are counted in so many buckets.
 BUCKETS = 2**15
-SAMPLE = 100_000
 _CHUNK = 4_000_000
 _ROW = "kind int, element long, node long, grp long, size int, place int, later boolean, high long, low long"
 
@@ -30,25 +29,25 @@ def _bucket(elements: np.ndarray) -> np.ndarray:
 
 
 def counts(sets: DataFrame, unpack) -> np.ndarray:
-    """How often the elements of each bucket occur in a sample of multisets node, bag."""
-    share = max(1, sets.count() // SAMPLE)
+    """How often the elements of each bucket occur in all multisets bag."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, dtype=np.int64)
         for batch in batches:
-            for blob in batch.column(0).to_pylist():
-                total += np.bincount(_bucket(unpack(blob)), minlength=BUCKETS)
+            total += np.bincount(_bucket(unpack(b"".join(batch.column(0).to_pylist()))), minlength=BUCKETS)
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen])], ["bucket", "n"])
 
-    out = np.zeros(BUCKETS, dtype=np.uint64)
-    for r in sets.where(F.col("node") % share == 0).select("bag").mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+    out = np.zeros(BUCKETS, dtype=np.int64)
+    for r in sets.select("bag").mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
         out[r.bucket] = r.n
-    return np.minimum(out, np.uint64(2**24 - 1))
+    return out
 
 
-def heads(sets: DataFrame, order: np.ndarray, threshold: float, unpack) -> DataFrame:
-    """The first elements of multisets kind, node, grp, high, low, bag; ``later`` ones count for the larger of two only."""
+def heads(sets: DataFrame, often: np.ndarray, threshold: float, unpack) -> DataFrame:
+    """The first elements of multisets kind, node, grp, high, low, bag by :func:`counts`; ``later`` ones count for the larger of two only."""
+    # ranks of the counts, which fit beside an element whatever the counts are
+    order = np.unique(often, return_inverse=True)[1].astype(np.uint64)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
